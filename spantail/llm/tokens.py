@@ -1,11 +1,13 @@
 """Token counts and ids by the tokenizers library, in Arrow batches.
 
-A text is split where no token of either vocabulary can cross: before a run of ASCII white space
-that follows something else. Equal pieces of a batch are encoded once, and each worker remembers a
-bounded number of pieces. The ids of a text are those of its pieces, one after the other, and equal
-what the library gives for the whole text: both pre-tokenizers cut there, neither Unicode
-composition nor lower-casing reaches over ASCII white space, and no special token holds any. Before
-white space of other kinds no split is made, as `\\s+(?!\\S)` may join the two.
+A text is split where no token can cross: before a run of ASCII white space that follows something
+else, and between an ASCII letter and one of `.,;:!?`. Equal pieces of a batch are encoded once, and
+each worker remembers a bounded number of pieces. The ids of a text are those of its pieces, one
+after the other, and equal what the library gives for the whole text: the pre-tokenizers cut there,
+neither Unicode composition nor lower-casing reaches over these characters, and no special token
+holds such a place. Before white space of other kinds no split is made, as `\\s+(?!\\S)` may join the
+two. Pieces that are one word of Latin letters skip the library's own search for words, as it would
+find just that word. A tokenizer file of another build than the two known ones gets whole texts.
 
 Null texts are empty. Repeated rows each get their row; null ids stay null. Long texts need no
 treatment of their own: they are split like any other.
@@ -14,8 +16,11 @@ treatment of their own: they are split like any other.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,11 @@ from pyspark.sql import functions as F
 from spantail.llm.common import byte_slices, text_bytes
 
 #: Pieces that a worker remembers, and the bytes of the longest of them; beyond, it starts afresh.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 500_000, 64
+#: Pieces that the library encodes in one call.
+CALL = 8192
+#: One word of letters that every Unicode version takes for letters, composed, and lower-cased one by one.
+_WORD = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -36,6 +45,23 @@ _OTHER[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 _LEAD3, _MID3 = np.zeros(256, bool), np.zeros(256, bool)
 _LEAD3[[0xE1, 0xE2, 0xE3, 0xEF]] = True
 _MID3[[0x9A, 0xA0, 0x80, 0x81, 0xBB]] = True
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_STOP[[ord(x) for x in ".,;:!?"]] = True
+
+
+def build_of(described: str) -> str:
+    """byte: byte-level words with their space; word: composed, lower-cased words without space; whole: any other."""
+    file = json.loads(described)
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"[\s.,;:!?]", t["content"]) for t in file["added_tokens"]):
+        return "whole"
+    first, norm = file["pre_tokenizer"] or {}, file["normalizer"]
+    if norm is None and first.get("type") == "ByteLevel" and first["use_regex"] and not first["add_prefix_space"]:
+        return "byte"
+    inner = first.get("pretokenizers", [])
+    if norm and [x["type"] for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in inner] == ["Split", "ByteLevel"] and inner[0]["behavior"] == "Removed" and inner[0]["invert"] and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in inner[0]["pattern"].get("Regex", "") and not inner[1]["use_regex"]:
+        return "word"
+    return "whole"
 
 
 def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -48,6 +74,7 @@ def piece_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     one, two, three = raw[cut - 1], raw[np.maximum(cut - 2, 0)], raw[np.maximum(cut - 3, 0)]
     unsafe = _OTHER[one] | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0))) | (_LEAD3[three] & _MID3[two])
     start[cut[~unsafe]] = True
+    start[1:] |= _STOP[raw[1:]] & _LETTER[raw[:-1]]
     start[at[:-1][np.diff(at) > 0]] = True
     return np.flatnonzero(start)
 
@@ -59,11 +86,15 @@ class Encoder:
 
     def __init__(self, described: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(described)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.build = build_of(described)
+        self.tokenizer, self.words = Tokenizer.from_str(described), Tokenizer.from_str(described)
+        for t in (self.tokenizer, self.words):
+            t.no_padding()
+            t.no_truncation()
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._clear()
 
     @classmethod
@@ -82,11 +113,26 @@ class Encoder:
         self.ids = np.zeros(1 << 14, np.uint32)
         self.used = self.filled = 0
 
+    def _library(self, texts: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids. plain: each text is one word."""
+        if plain:
+            words = [t.strip(" ").lower() for t in texts] if self.build == "word" else texts
+            e = self.words.encode(words, is_pretokenized=True, add_special_tokens=False)
+            return np.bincount(np.array(e.word_ids, np.int64), minlength=len(texts)), np.array(e.ids, np.uint32)
+        got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.fromiter(map(len, got), np.int64, len(got)), np.fromiter(chain.from_iterable(got), np.uint32)
+
     def _add(self, pieces: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
-        n, m = self.used + len(got), self.filled + len(flat)
+        for i in range(0, len(pieces), CALL):
+            texts = [p.decode() for p in pieces[i : i + CALL]]
+            simple = [self.build != "whole" and len(t) <= LONGEST and bool(_WORD.fullmatch(t)) for t in texts]
+            for plain in (True, False):
+                which = [j for j, x in enumerate(simple) if x == plain]
+                if which:
+                    self._store([pieces[i + j] for j in which], *self._library([texts[j] for j in which], plain))
+
+    def _store(self, pieces: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> None:
+        n, m = self.used + len(pieces), self.filled + len(flat)
         while n > len(self.length):
             self.length, self.begin = np.resize(self.length, 2 * len(self.length)), np.resize(self.begin, 2 * len(self.begin))
         while m > len(self.ids):
@@ -113,10 +159,13 @@ class Encoder:
                 del self.slot[p]
         return slots[coded.indices.to_numpy(zero_copy_only=False)]
 
+    def _starts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return at[:-1][np.diff(at) > 0] if self.build == "whole" else piece_starts(raw, at)
+
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text."""
         raw, at = text_bytes(texts)
-        starts = piece_starts(raw, at)
+        starts = self._starts(raw, at)
         if not len(starts):
             return np.zeros(len(at) - 1, np.int64)
         slots = self._slots(raw, starts)
@@ -126,7 +175,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the n + 1 offsets of the texts in them."""
         raw, at = text_bytes(texts)
-        starts = piece_starts(raw, at)
+        starts = self._starts(raw, at)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         slots = self._slots(raw, starts)

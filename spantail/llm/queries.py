@@ -6,15 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spantail.llm import simhash, tokens, topk, wavelet
+from spantail.llm import credentials, decontaminate, licenses, packing, pii, simhash, tokens, topk, toxicity, wavelet
 from spantail.llm.common import table
 
+#: A key for the query alone; real keys are the caller's.
+DEMO_KEY = "demonstration key"
+
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
+
+
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
 def op4_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_token_files(wavelet.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -24,13 +37,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.license_scan(table(spark, sf_dir, "documents"), path=path, keep=["doc_id"])
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    hit = decontaminate.n_hit()
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in credentials.BASE], F.sha2(credentials.listed("base"), 256).alias("base_sha256"), credentials.listed("spans").alias("spans"), F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(documents, toxicity.learn(documents, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_packing": op2_packing,
+    "op3_pseudonyms": op3_pseudonyms,
     "op4_wavelet_files": op4_wavelet_files,
+    "op5_licenses": op5_licenses,
+    "op6_decontamination": op6_decontamination,
+    "op7_secrets": op7_secrets,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
     "op10_simhash": op10_simhash,
 }

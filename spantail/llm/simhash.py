@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spantail.llm.common import byte_slices, drop, text_bytes, written
+from spantail.llm.common import byte_slices, drop, in_arrow, text_bytes, written
 
 SEED = 42
 #: Text bytes that are hashed at a time: their hashes' bits take 64 bytes a word.
@@ -74,14 +74,16 @@ def _ones(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row."""
+def fingerprints(df: DataFrame, text_col: str = "text", width: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all, if None) and fp, the fingerprint as a signed long; a column of that name is replaced."""
+    kept = [c for c in (df.columns if keep is None else keep) if c != "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, 1, HASHED):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprint_batch(part.column(1), width).view(np.int64))], ["doc_id", "fp"])
+        for part in byte_slices(batches, 0, HASHED):
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(fingerprint_batch(part.column(0), width).view(np.int64))], [*kept, "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = df.select(F.col(text_col).alias("__text"), *kept)
+    return in_arrow(rows, run, rows.drop("__text").schema.add("fp", "long"))
 
 
 def _masks(blocks: int, distance: int) -> list[int]:
@@ -136,15 +138,34 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, blocks: int = 4, crowded: int = 64) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id reachable over links, for each row."""
-    marked, _ = written(fingerprints(df, id_col, text_col, width), "fingerprints")
-    classes, _ = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+def class_components(marked: DataFrame, id_col: str, distance: int = 2, blocks: int = 4, crowded: int = 64) -> DataFrame:
+    """fp and component_id for each distinct fingerprint of a table: the smallest id reachable over links."""
+    classes, _ = written(marked.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("first_id")), "classes")
     reached = components(links(classes.select("fp"), distance, blocks, crowded)).withColumnRenamed("node", "fp")
     named = classes.join(reached, "fp", "left").withColumn("least", F.coalesce("least", "fp"))
     first = named.groupBy("least").agg(F.min("first_id").alias("component_id"))
-    by_fp, _ = written(named.join(first, "least").select("fp", "component_id"), "components")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return written(named.join(first, "least").select("fp", "least", "component_id"), "components")[0]
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, blocks: int = 4, crowded: int = 64) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id reachable over links, for each row."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    marked, _ = written(fingerprints(rows, "text", width, ["doc_id"]), "fingerprints")
+    return marked.join(class_components(marked, "doc_id", distance, blocks, crowded), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, blocks: int = 4, crowded: int = 64) -> DataFrame:
+    """The rows of df, one of each component: that of the smallest id, of repeated rows any one.
+
+    The rows are written with their fingerprint and a row number, so the choice is made on narrow
+    columns, and the texts move once, to meet the chosen numbers.
+    """
+    marked, _ = written(fingerprints(df, text_col, width).withColumn("__row", F.monotonically_increasing_id()), "marked")
+    reached = class_components(marked, id_col, distance, blocks, crowded)
+    number = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    in_class = marked.groupBy("fp").agg(F.min(number).alias("first")).join(reached, "fp")
+    chosen = in_class.groupBy("least").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return marked.join(chosen, "__row", "left_semi").select(*df.columns)
 
 
 def fingerprint_text(fp: str = "fp"):

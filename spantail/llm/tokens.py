@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spantail.llm.common import byte_slices, text_bytes
+from spantail.llm.common import byte_slices, in_arrow, text_bytes
 
 #: Pieces that a worker remembers, and the bytes of the longest of them; beyond, it starts afresh.
 REMEMBERED, LONGEST = 500_000, 64
@@ -206,4 +206,4 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(encoder.counts(part.column(1)))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > max_tokens)
+    return in_arrow(rows, count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > max_tokens)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spantail.llm.common import in_arrow
+
 #: Shares of a sorted list read level by level.
 DEPTHS = (0.25, 1.0)
 #: Candidates in a shard, queries in a matrix product, numbers in a broadcast block of queries.
@@ -123,7 +125,7 @@ def exact_topk(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([g[0] for g in got], [len(g[1]) for g in got]).astype(np.int64)), pa.array(np.concatenate([g[1] for g in got])), pa.array(np.concatenate([g[2] for g in got]))], ["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(scan, "query_id long, vec_id long, score long")
+        part = in_arrow(rows, scan, "query_id long, vec_id long, score long")
         found = part if found is None else found.unionAll(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

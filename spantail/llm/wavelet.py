@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spantail.llm.common import byte_slices, written
+from spantail.llm.common import byte_slices, in_arrow, written
 from spantail.llm.tokens import Encoder, described
 
 MAGIC, VERSION = b"WMAT", 1
@@ -218,7 +218,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, end_id: int = 0, id_co
         if held:
             yield image()
 
-    images = rows.mapInArrow(run, "part int, start long, n_ids long, image binary")
+    images = in_arrow(rows, run, "part int, start long, n_ids long, image binary")
     return written(images, "wavelet", compression="uncompressed")[0]
 
 
@@ -241,4 +241,4 @@ def read_token_files(images: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(end - size, end, strict=True)]
                 yield pa.RecordBatch.from_arrays([shard.doc_ids, pa.array(before[part.as_py()] + shard.start + end - size), pa.array(size.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return images.select("part", "image").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(images.select("part", "image"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

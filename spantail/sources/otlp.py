@@ -59,9 +59,11 @@ def flatten(batches: DataFrame) -> DataFrame:
 
 
 def nest(spans: DataFrame, by: tuple[str, ...] = ("resource", "scope")) -> DataFrame:
-    """Spans grouped again: a row for each resource and scope of each trace, so that no group outgrows a trace."""
+    """Spans grouped again, in order of start and id: a row for each resource and scope of each trace, so that no group outgrows a trace."""
     payload = [c for c in spans.columns if c not in (*by, "trace_id")]
-    return spans.groupBy("trace_id", *by).agg(F.sort_array(F.collect_list(F.struct(*payload))).alias("spans"))
+    key = lambda x: F.struct(x["start_unix_nano"], x["span_id"])
+    order = lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
+    return spans.groupBy("trace_id", *by).agg(F.array_sort(F.collect_list(F.struct(*payload)), order).alias("spans"))
 
 
 def binary_ids(spans: DataFrame) -> DataFrame:

@@ -36,13 +36,13 @@ class TailSampling(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = pd.concat(list(rows), ignore_index=True)
-        new = new.sort_values("__at", kind="stable")
+        new = new.sort_values("span_at", kind="stable")
         held = list(self.spans.get()) if self.deadline.exists() else []
         names = self.payload.fieldNames()
         place = names.index("span_id")
         seen = {s[place] for s in held}
         match, fresh = False, []
-        for row, found in zip(new[names].itertuples(index=False, name=None), new["__match"], strict=True):
+        for row, found in zip(new[names].itertuples(index=False, name=None), new["span_match"], strict=True):
             if 0 < self.max_spans <= len(held) + len(fresh):
                 break
             if not str(row[place] or "").strip("0") or row[place] not in seen:
@@ -58,7 +58,7 @@ class TailSampling(StatefulProcessor):
             yield pd.DataFrame([*map(tuple, held), *fresh], columns=names)
             return
         if not self.deadline.exists():
-            now = int(new["__at"].min())
+            now = int(new["span_at"].min())
             self.deadline.update((now + self.wait_ms,))
             if self.wait_ms > 0:
                 self.handle.registerTimer(now + self.wait_ms)
@@ -85,7 +85,7 @@ def sampled_stream(spans: DataFrame, policies: Sequence[Policy], wait_s: float,
     prepare(spans.sparkSession)
     ship(spans.sparkSession)
     payload = spans.schema
-    marked = spans.withColumn("__match", matches(policies)).withColumn("__at", F.unix_millis(time_col)).withWatermark(time_col, late)
+    marked = spans.withColumn("span_match", matches(policies)).withColumn("span_at", F.unix_millis(time_col)).withWatermark(time_col, late)
     return marked.groupBy("trace_id").transformWithStateInPandas(
         statefulProcessor=TailSampling(payload, int(wait_s * 1000), max_spans),
         outputStructType=payload,

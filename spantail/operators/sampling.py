@@ -36,7 +36,12 @@ def forwarded_window(spans: DataFrame, policies: Sequence[Policy]) -> DataFrame:
 
 def not_sampled(spans: DataFrame, policies: Sequence[Policy]) -> DataFrame:
     """The distinct ids of traces that no span keeps by their deadline."""
-    return spans.select("trace_id").distinct().join(kept_traces(spans, policies), "trace_id", "left_anti")
+    return trace_ids(spans).join(kept_traces(spans, policies), "trace_id", "left_anti")
+
+
+def trace_ids(spans: DataFrame) -> DataFrame:
+    """The distinct trace ids."""
+    return spans.select("trace_id").distinct()
 
 
 def decisions(spans: DataFrame, policies: Sequence[Policy]) -> DataFrame:

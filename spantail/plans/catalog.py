@@ -148,6 +148,23 @@ def not_sampled_traces(spark, sf_dir):
     return sampling.not_sampled(events_spans(spark, sf_dir), policies())
 
 
+@query(f"WITH {LINES} SELECT DISTINCT trace_id FROM li")
+def unique_trace_ids(spark, sf_dir):
+    return sampling.trace_ids(lineitem_spans(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS} SELECT trace_id, count(*) AS spans FROM ev WHERE CAST(split_part(trace_id, '-', 1) AS BIGINT) < 10 GROUP BY 1")
+def span_counts_of_traces(spark, sf_dir):
+    """Span counts of the traces asked for; others are left out."""
+    few = F.substring_index("trace_id", "-", 1).cast("long") < 10
+    return events_spans(spark, sf_dir).where(few).groupBy("trace_id").agg(F.count("*").alias("spans"))
+
+
+@query("SELECT 1 AS one")
+def liveness(spark, sf_dir):
+    return spark.sql("SELECT 1 AS one")
+
+
 @query("SELECT CAST(0 AS BIGINT) AS kept, count(DISTINCT CAST(user_id AS VARCHAR) || strftime(ts, '-%Y%m%d')) AS not_sampled FROM events")
 def empty_policies_drop_all(spark, sf_dir):
     config = SamplerConfig()

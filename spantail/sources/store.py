@@ -125,16 +125,11 @@ class SpanStore:
 
     def read(self) -> DataFrame:
         """All rows; sparse columns of every registered key, the empty string where a file lacks one."""
-        columns = {attr_column(k): k for k in self.keys()}
-        schema = BASE_SCHEMA + "".join(f", {quote_ident(c)} string" for c in columns)
-        rows = self.spark.read.schema(schema).parquet(*self._batches()) if self._batches() else self.spark.createDataFrame([], schema)
-        return rows
-
-    def _batches(self) -> list[str]:
+        schema = BASE_SCHEMA + "".join(f", {quote_ident(attr_column(k))} string" for k in self.keys())
         if not self._exists(f"{self.root}/data"):
-            return []
-        fs, at = self._fs(f"{self.root}/data")
-        return sorted(s.getPath().toString() for s in fs.listStatus(at) if s.isDirectory())
+            return self.spark.createDataFrame([], schema)
+        # batches are folders, which Spark lists in parallel; their number isn't a column of the table
+        return self.spark.read.schema(schema).parquet(f"{self.root}/data").drop("batch")
 
     def attr_columns(self) -> list[str]:
         """Names of the sparse columns; a prefix test with its underscore, as `attributes` isn't one."""

@@ -54,6 +54,11 @@ def written(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def others(columns: list[str], *made: str) -> list[str]:
+    """Columns that don't have one of these names; Spark doesn't tell capitals apart."""
+    return [c for c in columns if c.lower() not in made]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spantail.llm.common import written
+from spantail.llm.common import others, written
 from spantail.llm.native import cut, matches, merged
 
 #: Kinds in the order in which spans of one start are listed: pattern, group that is the value, its least length.
@@ -71,7 +71,7 @@ def secrets(df: DataFrame, text_col: str = "text", repo_col: str = "source", own
 
     A column of df named base or spans is replaced.
     """
-    kept = [c for c in (df.columns if keep is None else keep) if c not in ("base", "spans")]
+    kept = others(df.columns if keep is None else keep, "base", "spans")
     found = candidates(df.select(*{*kept, text_col, repo_col}), text_col, repo_col, owner, kept)
     wide = owned(found).where((F.col("repositories") >= repositories) & (F.col("owners") >= owners)).select(F.col("hash"), F.lit(True).alias("wide"))
     with_some = F.size("__base") + F.size("__more") > 0

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spantail.llm.common import byte_slices, in_arrow, text_bytes
+from spantail.llm.common import byte_slices, in_arrow, others, text_bytes
 from spantail.llm.native import merged
 from spantail.llm.wavelet import WaveletMatrix
 
@@ -226,7 +226,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, text_co
     total = tests.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     made = ("n_words", "spans", "char_spans", "items")
-    wanted = [c for c in (df.columns if keep is None else keep) if c not in made]
+    wanted = others(df.columns if keep is None else keep, *made)
     kept = [*wanted, *[c for c in (text_col,) if blocks > 1 and c not in wanted]]
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("char_spans", span), T.StructField("items", T.ArrayType(T.StringType()))]

@@ -24,6 +24,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spantail.llm.common import others
+
 #: Statements by which licences are commonly declared.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
@@ -106,7 +108,7 @@ def _ancestors(directory: Column) -> Column:
 def license_scan(df: DataFrame, text_col: str = "text", path: Column | str = "path", least: float = 0.6, keep: list[str] | None = None, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """The columns `keep` of df (all, if None), license, score, via (own, inherited or null) and n_statements; columns of these names are replaced."""
     made = ("license", "score", "via", "n_statements")
-    kept = [c for c in (df.columns if keep is None else keep) if c not in made]
+    kept = others(df.columns if keep is None else keep, *made)
     path = F.col(path) if isinstance(path, str) else path
     found = own_licenses(df, text_col, path, least, Templates(templates or TEMPLATES)).select(*kept, "__path", "__named", "__own", "n_statements")
     clean = F.concat_ws("/", F.filter(F.split(_directory(F.col("__path")), "/"), lambda p: p != ""))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spantail.llm.common import byte_slices, drop, in_arrow, text_bytes, written
+from spantail.llm.common import byte_slices, drop, in_arrow, others, text_bytes, written
 
 SEED = 42
 #: Text bytes that are hashed at a time: their hashes' bits take 64 bytes a word.
@@ -76,7 +76,7 @@ def _ones(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprints(df: DataFrame, text_col: str = "text", width: int = 3, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of df (all, if None) and fp, the fingerprint as a signed long; a column of that name is replaced."""
-    kept = [c for c in (df.columns if keep is None else keep) if c != "fp"]
+    kept = others(df.columns if keep is None else keep, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in byte_slices(batches, 0, HASHED):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spantail.llm.common import byte_slices, drop, in_arrow, written
+from spantail.llm.common import byte_slices, drop, in_arrow, others, written
 
 #: Letters of a word's start.
 SHORTEST, LONGEST = 3, 8
@@ -158,7 +158,7 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 def toxicity(df: DataFrame, model: tuple[dict[str, float], np.ndarray] | None, keep: list[str] | None = None, text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """The columns `keep` of df (all, if None) and score, from 0 to 1; a column of that name is replaced."""
-    kept = [c for c in (df.columns if keep is None else keep) if c != "score"]
+    kept = others(df.columns if keep is None else keep, "score")
     if model is None:
         return df.select(*kept, F.lit(0.0).alias("score"))
     held = df.sparkSession.sparkContext.broadcast(model)

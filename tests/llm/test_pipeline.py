@@ -77,3 +77,17 @@ def test_all_is_packed(spark, sf_dir, stages):
         size[r.doc_id] = size.get(r.doc_id, 0) + r.length
     assert all(size[r.doc_id] == r.doc_tokens for r in got)
     assert pipeline.run(spark, sf_dir).count() == len(got)
+
+
+def test_odd_rows_and_clashing_names(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, items string, Score int, fp string, spans int, base string, `a.b` int"
+    rows = [(1, None, None, None, None, "i", 1, "f", 2, "b", 3), (2, "", "en", "s", 0, "i", 1, "f", 2, "b", 3), (None, "one two three four", "en", "s", 18, "i", 1, "f", 2, "b", 3)]
+    rows += [(3, "alpha beta gamma delta", "en", "s", 22, "i", 1, "f", 2, "b", 3)] * 2 + [(4, "word " * 50_000, "en", "s", 250_000, "x", 5, None, None, None, None)]
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(rows, schema)
+        for df, least in ((docs, 3), (docs.limit(0), 0)):
+            out = stage(spark, df, sf_dir)
+            assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+            got = out.collect()
+            assert len(got) >= least and all(tuple(r)[5:] in {r[5:] for r in rows} for r in got), name
+    assert pipeline.STAGES[-1][1](spark, spark.createDataFrame(rows, schema), sf_dir).agg({"length": "sum"}).first()[0] > 50_000

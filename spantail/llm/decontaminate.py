@@ -37,7 +37,7 @@ from spantail.llm.wavelet import WaveletMatrix
 #: Words in a shard, about; a document isn't cut. Words in a segment besides the overlap. Every so many positions of a segment are sampled.
 SHARD_WORDS, SEGMENT, SAMPLED = 1 << 19, 55, 8
 #: Bytes of benchmark text that go to the tasks at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -154,18 +154,21 @@ class Phrases:
         raw, at = text_bytes(pa.array([t for _, t in items], pa.string()))
         words, _, _, edge = words_of(raw, at)
         coded = words.dictionary_encode()
-        flat = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.append(coded.indices.to_numpy(zero_copy_only=False), np.full(window, -1)).astype(np.int32)
+        size = np.diff(edge)
+        times = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        owner = np.repeat(np.arange(len(size)), times)
+        begin = edge[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+        length = np.minimum(window, size[owner])
+        inside = np.arange(window) < length[:, None]
+        rows = np.where(inside, flat[begin[:, None] + np.arange(window)], np.int32(-1))
         self.names, self.vocabulary, self.window = names, coded.dictionary, window
-        held: dict[tuple[int, ...], set[int]] = {}
-        for (name, _), a, b in zip(items, edge[:-1], edge[1:], strict=True):
-            for i in range(a, max(a + 1, b - window + 1) if b > a else a):
-                held.setdefault(tuple(flat[i : min(b, i + window)].tolist()), set()).add(number[name])
-        self.length = np.array([len(p) for p in held], np.int64)
-        self.words = np.full((len(held), window), -1, np.int64)
-        for k, p in enumerate(held):
-            self.words[k, : len(p)] = p
-        self.item = np.array([i for s in held.values() for i in sorted(s)], np.int64)
-        self.item_at = np.append(0, np.cumsum([len(s) for s in held.values()], dtype=np.int64))
+        #: Numbers of words, -1 beyond the phrase.
+        self.words, which = np.unique(rows, axis=0, return_inverse=True)
+        self.length = (self.words >= 0).sum(axis=1)
+        pairs = np.unique(np.stack([which.ravel(), np.array([number[i] for i, _ in items], np.int64)[owner]], 1), axis=0)
+        self.item = pairs[:, 1]
+        self.item_at = np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
 
 
 def _occurrences(words: pa.Array, edge: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spantail.operators.policies import Policy, matches
 from spantail.ship import ship
+from spantail.streaming.listener import INPUT, SAMPLED
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -85,10 +86,12 @@ def sampled_stream(spans: DataFrame, policies: Sequence[Policy], wait_s: float,
     prepare(spans.sparkSession)
     ship(spans.sparkSession)
     payload = spans.schema
-    marked = spans.withColumn("span_match", matches(policies)).withColumn("span_at", F.unix_millis(time_col)).withWatermark(time_col, late)
-    return marked.groupBy("trace_id").transformWithStateInPandas(
+    seen = spans.observe(INPUT, F.count(F.lit(1)).alias("spans"))
+    marked = seen.withColumn("span_match", matches(policies)).withColumn("span_at", F.unix_millis(time_col)).withWatermark(time_col, late)
+    kept = marked.groupBy("trace_id").transformWithStateInPandas(
         statefulProcessor=TailSampling(payload, int(wait_s * 1000), max_spans),
         outputStructType=payload,
         outputMode="Append",
         timeMode="EventTime",
     )
+    return kept.observe(SAMPLED, F.count(F.lit(1)).alias("spans"))

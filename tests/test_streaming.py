@@ -1,8 +1,11 @@
 import datetime as dt
 import json
+import os
+import time
 
 from spantail.config import PolicyConfig
 from spantail.operators.policies import compiled
+from spantail.streaming.listener import INPUT, SAMPLED, Counters
 from spantail.streaming.sampler import sampled_stream
 
 SCHEMA = "trace_id string, span_id string, status_code string, duration_ns long, timestamp timestamp"
@@ -24,16 +27,23 @@ def test_keep_late_keep_duplicate_cap_and_expiry(spark, tmp_path):
         [("e", "2", "ERROR", 60), ("c", "2", "OK", 61)],
         [("f", "1", "OK", 120), ("f", "2", "OK", 120), ("f", "3", "ERROR", 120), ("g", "2", "ERROR", 120)],
     ]
-    import os
-
     for n, rows in enumerate(batches):
         put(source, n, rows)
         os.utime(source / f"{n:03}.json", (n + 1, n + 1))
     spans = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
     out = sampled_stream(spans, compiled([PolicyConfig("status_code", keep="ERROR")]), wait_s=10, max_spans=2)
+    counters = Counters()
+    spark.streams.addListener(counters)
     query = out.writeStream.format("memory").queryName("kept").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(300)
     assert query.exception() is None
+    for _ in range(100):
+        if counters.totals.get(("kept", SAMPLED)) == 4 and counters.totals.get(("kept", INPUT)) == sum(map(len, batches)):
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(counters)
+    assert counters.totals == {("kept", INPUT): sum(map(len, batches)), ("kept", SAMPLED): 4}
+    assert counters.table(spark).where("name = 'spantail_sampled'").agg({"value": "max"}).first()[0] == 4
     got = sorted((r.trace_id, r.span_id) for r in spark.table("kept").collect())
     # a, f: the cap of two hides the error; b: kept at once; e: due, but its input comes first; g: expired, then a new trace
     assert got == [("b", "1"), ("e", "1"), ("e", "2"), ("g", "2")]

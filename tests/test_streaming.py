@@ -47,3 +47,37 @@ def test_keep_late_keep_duplicate_cap_and_expiry(spark, tmp_path):
     got = sorted((r.trace_id, r.span_id) for r in spark.table("kept").collect())
     # a, f: the cap of two hides the error; b: kept at once; e: due, but its input comes first; g: expired, then a new trace
     assert got == [("b", "1"), ("e", "1"), ("e", "2"), ("g", "2")]
+
+
+def test_a_failed_sink_stores_each_span_once(spark, tmp_path):
+    """From files through the sampler to the store; the sink fails after it wrote, and the query starts again."""
+    from pyspark.sql import functions as F
+
+    from spantail.config import StoreConfig
+    from spantail.sources.store import SpanStore
+
+    source = tmp_path / "in"
+    source.mkdir()
+    put(source, 0, [("a", "1", "OK", 0), ("a", "2", "ERROR", 0), ("b", "1", "OK", 0)])
+    put(source, 1, [("b", "2", "ERROR", 1), ("c", "1", "ERROR", 1)])
+    store = SpanStore(spark, StoreConfig(location=f"file://{tmp_path}/store"))
+    spans = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
+    kept = sampled_stream(spans, compiled([PolicyConfig("status_code", keep="ERROR")]), wait_s=10)
+    rows = kept.select("timestamp", (F.unix_micros("timestamp") * 1000).alias("timestamp_ns"), "trace_id", "span_id", F.lit("op").alias("name"), "status_code", "duration_ns", F.create_map(F.lit("k"), F.col("span_id")).alias("attributes"))
+    failures = [1]
+
+    def sink(df, batch_id):
+        store.write(df, batch_id)
+        if failures:
+            failures.pop()
+            raise RuntimeError("after the write")
+
+    for _ in range(2):
+        query = rows.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        try:
+            query.awaitTermination(300)
+        except Exception:
+            assert not failures
+    got = sorted((r.trace_id, r.span_id) for r in store.read().collect())
+    assert got == [("a", "1"), ("a", "2"), ("b", "1"), ("b", "2"), ("c", "1")]
+    assert sorted(r.trace_id for r in store.where_attr("k", "2").collect()) == ["a", "b"]

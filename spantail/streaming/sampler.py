@@ -24,6 +24,11 @@ from spantail.streaming.listener import INPUT, SAMPLED
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def plain(row: tuple) -> tuple:
+    """A row of pandas values as Python values, as state takes them."""
+    return tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for v in row)
+
+
 class TailSampling(StatefulProcessor):
     """The processor. payload: schema of the buffered columns; wait_ms and max_spans: off at zero or less."""
 
@@ -48,7 +53,7 @@ class TailSampling(StatefulProcessor):
                 break
             if not str(row[place] or "").strip("0") or row[place] not in seen:
                 seen.add(row[place])
-                fresh.append(tuple(v.item() if hasattr(v, "item") else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in row))
+                fresh.append(plain(row))
                 match = match or bool(found)
         if match:
             if self.deadline.exists():

@@ -81,3 +81,29 @@ def test_a_failed_sink_stores_each_span_once(spark, tmp_path):
     got = sorted((r.trace_id, r.span_id) for r in store.read().collect())
     assert got == [("a", "1"), ("a", "2"), ("b", "1"), ("b", "2"), ("c", "1")]
     assert sorted(r.trace_id for r in store.where_attr("k", "2").collect()) == ["a", "b"]
+
+
+def test_capped_stream_equals_the_exact_sampler(spark, tmp_path):
+    import random
+
+    from spantail.operators.exact import Sampler, Span
+    from spantail.streaming.capped import capped_stream
+
+    source = tmp_path / "in"
+    source.mkdir()
+    r = random.Random(3)
+    expected, at = [], 0
+    machine = Sampler(lambda spans: expected.extend((s.trace_id, s.span_id) for s in spans), max_traces=4, max_spans=3)
+    for n in range(5):
+        rows = []
+        for _ in range(12):
+            at += 1
+            rows.append((f"t{r.randint(0, 9)}", str(r.randint(1, 5)), r.choice(["OK"] * 5 + ["ERROR"]), at))
+        put(source, n, rows)
+        os.utime(source / f"{n:03}.json", (n + 1, n + 1))
+        machine.consume([Span(t, s, c == "ERROR") for t, s, c, _ in rows], at)
+    spans = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(source))
+    out = capped_stream(spans, compiled([PolicyConfig("status_code", keep="ERROR")]), wait_s=0, max_traces=4, buckets=1, max_spans=3)
+    query = out.writeStream.format("memory").queryName("capped").outputMode("append").option("checkpointLocation", str(tmp_path / "cp3")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert sorted((x.trace_id, x.span_id) for x in spark.table("capped").collect()) == sorted(expected) and expected

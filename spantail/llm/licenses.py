@@ -7,7 +7,7 @@ licence file is compared as a whole too, and if one is found, it stands for its
 
 Files without an own licence take that of the nearest ancestor directory: distinct directories are
 exploded to their ancestors, joined on paths with the directories that have a licence, and the
-deepest is taken; files are then joined with their directory. Two licence files in one directory: the
+deepest is taken; files are then joined with their directory, in salted parts. Two licence files in one directory: the
 higher score, then the name of the licence, decides.
 
 DataFrame functions only. Null and empty texts have no statements; null paths are in no directory and
@@ -43,6 +43,8 @@ TEMPLATES = {
 }
 CUE = r"(?i)licen[cs]|copyright|spdx|all rights reserved|permission is hereby granted|proprietary"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
+#: Parts into which the files of a directory are dealt to meet its licence: one directory may hold a third of all files.
+SALTS = 64
 #: A version's point stays in its word.
 _WORD = r"[^a-z0-9.]+|[.](?![0-9])"
 
@@ -117,7 +119,8 @@ def license_scan(df: DataFrame, text_col: str = "text", path: Column | str = "pa
     standing = standing.groupBy(F.col("__dir").alias("ancestor")).agg(F.min(F.struct((-F.col("__own.score")).alias("s"), F.col("__own.license").alias("license"))).alias("own"))
     below = found.where(F.col("__dir").isNotNull()).select("__dir").distinct().select("__dir", F.inline(_ancestors(F.col("__dir"))))
     near = below.join(standing, "ancestor").groupBy("__dir").agg(F.max_by("own", "depth").alias("__near"))
-    rows = found.join(near, "__dir", "left")
+    near = near.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = found.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(near, ["__dir", "__salt"], "left")
     own, near = F.col("__own"), F.col("__near")
     return rows.select(
         *kept,

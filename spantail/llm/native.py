@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Matches whose places are summed up at a time.
+BLOCK = 128
+
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches, none of which may be empty.
@@ -17,13 +20,37 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     gaps, found, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), F.arrays_zip(found.alias("whole"), values.alias("value")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["whole"]).alias("size"), m["value"].alias("value")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    placed = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, m: F.struct((s["at"] + m["gap"] + m["size"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + m["gap"]).alias("start"), (s["at"] + m["gap"] + m["size"]).alias("end"), m["value"].alias("value")))).alias("out")),
-        lambda s: s["out"],
-    )
-    return F.when(text.rlike(pattern), placed).otherwise(none)
+    return F.when(text.rlike(pattern), _once(sizes, _placed)).otherwise(none)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _placed(sizes: Column) -> Column:
+    """Matches with their places: summed up in blocks, as a list that grows is copied each time."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+    def within(block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda s, m: F.struct((s["at"] + m["gap"] + m["size"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + m["gap"]).alias("start"), (s["at"] + m["gap"] + m["size"]).alias("end"), m["value"].alias("value")))).alias("out")),
+        )
+
+    def joined(blocks: Column) -> Column:
+        begin = F.aggregate(
+            blocks,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+            lambda s: s["out"],
+        )
+        moved = lambda b, at: F.transform(b["out"], lambda m: F.struct((m["start"] + at).alias("start"), (m["end"] + at).alias("end"), m["value"].alias("value")))
+        return F.flatten(F.zip_with(blocks, begin, moved))
+
+    last = F.floor((F.size(sizes) - 1) / BLOCK).cast("int")
+    return _once(F.transform(F.sequence(F.lit(0), last), lambda b: within(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))), joined)
 
 
 def replaced(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:

@@ -181,3 +181,11 @@ def test_spans(spark):
     spans = spark.sql("SELECT array(named_struct('start',5,'end',9), named_struct('start',0,'end',3), named_struct('start',3,'end',4), named_struct('start',6,'end',7)) AS s, array() AS e")
     assert [tuple(x) for x in spans.select(native.merged(F.col("s"))).first()[0]] == [(0, 4), (5, 9)]
     assert hashlib.sha256(b"").hexdigest() == spark.sql("SELECT sha2('', 256)").first()[0]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "".join(f"é{'x' * (i % 5)}{i}" for i in range(20_000))
+    df = spark.createDataFrame([(text,), ("1 " * 128,), ("1 " * 129,)], "t string")
+    got = [r[0] for r in df.select(native.matches(F.col("t"), "[0-9]+")).collect()]
+    for t, found in zip([text, "1 " * 128, "1 " * 129], got):
+        assert [tuple(m) for m in found] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", t)]

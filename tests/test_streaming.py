@@ -14,7 +14,9 @@ T0 = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
 
 def put(folder, n, rows):
     lines = [json.dumps({"trace_id": t, "span_id": s, "status_code": c, "duration_ns": 1, "timestamp": (T0 + dt.timedelta(seconds=at)).strftime("%Y-%m-%dT%H:%M:%S.000Z")}) for t, s, c, at in rows]
-    (folder / f"{n:03}.json").write_text("\n".join(lines))
+    path = folder / f"{n:03}.json"
+    path.write_text("\n".join(lines))
+    os.utime(path, (n + 1, n + 1))  # the source reads files in this order
 
 
 def test_keep_late_keep_duplicate_cap_and_expiry(spark, tmp_path):

@@ -75,6 +75,13 @@ def test_secrets(spark):
     assert credentials.secrets(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("token", ["z" * 42 + "9xY7", "G" * 60 + "b1", "7z" * 25 + "-B", "q" * 30_000 + "R5"])
+def test_classes_late_in_a_token(spark, token):
+    df = spark.createDataFrame([(1, f"see {token} there", "o/r"), (2, "z" * 50 + "7 " + "A" * 9, "o/r")], "doc_id long, text string, source string")
+    got = {r.doc_id: [(s.start, s.end, s.kind, s.live) for s in r.spans] for r in credentials.secrets(df).collect()}
+    assert got == {1: [(4, 4 + len(token), "mixed", True)], 2: []}
+
+
 def test_pseudonyms(spark):
     texts = ["a 4111111111111111 b", "4111 1111 1111 1111", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "219-09-9999", "2024-02-29", "31/12/1999", "1.2.3.4", "Max.Müller99@ex-ample.co.uk, x", "+1 (017) 555-7713", "x" * 50_000 + " 4111111111111111", "4111111111111111 1.2.3.4 4111111111111111"]
     same = ["000-12-3456", "30.02.2001", "300.1.1.1", "1234567812345678", "DE89370400440532013001", "plain 12", "1.2.3.4.5", None, ""]

@@ -7,8 +7,9 @@ give rank in constant time; select descends the planes and climbs back by binary
 counts. From one image: the id at a place, how often an id occurs before a place, and its k-th place.
 
 File image, little-endian: magic, version, number of ids, documents, codes and planes, first place;
-then the zstd-compressed table of codes, document ids and lengths, and planes, each with its length.
-The counts are rebuilt on reading, in one pass over the planes.
+then the zstd-compressed table of codes with their numbers of occurrences, document ids and lengths,
+and planes, each with its length. The counts of ones are made when rank or select first asks; reading
+all ids needs none: below the last plane equal codes stand together, as many as the table says.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from spantail.llm.common import byte_slices, in_arrow, written
 from spantail.llm.tokens import Encoder, described
 
-MAGIC, VERSION = b"WMAT", 1
+MAGIC, VERSION = b"WMAT", 2
 _HEAD = struct.Struct("<4sIQQQIq")
 #: Ids in a shard, about; a shard ends with a document.
 SHARD_IDS = 1 << 20
@@ -50,14 +52,21 @@ class WaveletMatrix:
 
     def __init__(self, planes: list[np.ndarray], n: int):
         self.planes, self.n, self.levels = planes, n, len(planes)
-        self.before = [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)[:-1]]) for p in planes]
-        self.zeros = [n - int(self._ones(level, np.array([n]))[0]) for level in range(self.levels)]
+
+    @cached_property
+    def before(self) -> list[np.ndarray]:
+        """Ones before each word of each plane."""
+        return [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)[:-1]]) for p in self.planes]
+
+    @cached_property
+    def zeros(self) -> list[int]:
+        return [self.n - int(np.bitwise_count(p).sum(dtype=np.int64)) for p in self.planes]
 
     @classmethod
     def of(cls, codes: np.ndarray, levels: int) -> WaveletMatrix:
         planes, now = [], pa.array(codes)
         for level in range(levels):
-            words = _packed((now.to_numpy(zero_copy_only=False) >> (levels - 1 - level)) & 1)
+            words = _packed(now.to_numpy(zero_copy_only=False) & codes.dtype.type(1 << (levels - 1 - level)) != 0)
             planes.append(words)
             now = pa.concat_arrays(_split(now, words))
         return cls(planes, len(codes))
@@ -112,24 +121,34 @@ class WaveletMatrix:
         bits = np.unpackbits(self.planes[level][word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == bit
         return word * 64 + np.argmax(np.cumsum(bits, axis=1) > left[:, None], axis=1)
 
-    def codes(self) -> np.ndarray:
-        """All codes in order, in one pass over the planes."""
-        order, code = pa.array(np.arange(self.n, dtype=np.uint32)), pa.array(np.zeros(self.n, np.uint32))
+    def spread(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """values[c] at each place of each code c, of which there are counts[c]."""
+        order = pa.array(np.arange(self.n, dtype=np.uint32))
         for words in self.planes:
-            bits = np.unpackbits(words.view(np.uint8), bitorder="little")[: self.n]
-            code = pa.array(code.to_numpy(zero_copy_only=False) * np.uint32(2) + bits)
-            order, code = pa.concat_arrays(_split(order, words)), pa.concat_arrays(_split(code, words))
-        out = np.empty(self.n, np.uint32)
-        out[order.to_numpy(zero_copy_only=False)] = code.to_numpy(zero_copy_only=False)
+            order = pa.concat_arrays(_split(order, words))
+        last = np.argsort(_mirrored(np.arange(len(counts)), self.levels))
+        out = np.empty(self.n, values.dtype)
+        out[order.to_numpy(zero_copy_only=False)] = np.repeat(values[last], counts[last])
         return out
 
 
+def _mirrored(codes: np.ndarray, levels: int) -> np.ndarray:
+    """Codes with their bits in reverse: in this order they stand below the last plane."""
+    out = np.zeros_like(codes)
+    for level in range(levels):
+        out = 2 * out + ((codes >> level) & 1)
+    return out
+
+
 class Shard:
     """The ids of consecutive documents, readable from one file image."""
 
-    def __init__(self, matrix: WaveletMatrix, alphabet: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray, start: int):
-        self.matrix, self.alphabet, self.doc_ids, self.lengths, self.start = matrix, alphabet, doc_ids, lengths, start
-        self.code = {int(x): c for c, x in enumerate(alphabet)}
+    def __init__(self, matrix: WaveletMatrix, alphabet: np.ndarray, counts: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray, start: int):
+        self.matrix, self.alphabet, self.counts, self.doc_ids, self.lengths, self.start = matrix, alphabet, counts, doc_ids, lengths, start
+
+    @cached_property
+    def code(self) -> dict[int, int]:
+        return {int(x): c for c, x in enumerate(self.alphabet)}
 
     @classmethod
     def of(cls, ids: np.ndarray, doc_ids: pa.Array, lengths: np.ndarray, start: int = 0) -> Shard:
@@ -138,10 +157,11 @@ class Shard:
         code = np.zeros(len(seen), np.uint32)
         code[alphabet] = np.arange(len(alphabet))
         small = np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
-        return cls(WaveletMatrix.of(code[ids].astype(small), max(1, (len(alphabet) - 1).bit_length()) if len(alphabet) else 1), alphabet, doc_ids, lengths, start)
+        return cls(WaveletMatrix.of(code[ids].astype(small), max(1, (len(alphabet) - 1).bit_length()) if len(alphabet) else 1), alphabet, seen[alphabet], doc_ids, lengths, start)
 
     def ids(self) -> np.ndarray:
-        return self.alphabet[self.matrix.codes()] if self.matrix.n else np.zeros(0, np.uint32)
+        """All ids in order."""
+        return self.matrix.spread(self.alphabet, self.counts)
 
     def token(self, at: np.ndarray) -> np.ndarray:
         """The ids at some places."""
@@ -162,7 +182,7 @@ class Shard:
         pack = zstandard.ZstdCompressor(level=1).compress
         known = np.array([x is not None for x in self.doc_ids.to_pylist()], np.uint8)
         numbers = self.doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-        parts = [self.alphabet.astype("<u4").tobytes(), known.tobytes() + numbers.tobytes() + self.lengths.astype("<i8").tobytes(), *(p.tobytes() for p in self.matrix.planes)]
+        parts = [self.alphabet.astype("<u4").tobytes() + self.counts.astype("<u4").tobytes(), known.tobytes() + numbers.tobytes() + self.lengths.astype("<i8").tobytes(), *(p.tobytes() for p in self.matrix.planes)]
         image = [_HEAD.pack(MAGIC, VERSION, self.matrix.n, len(self.lengths), len(self.alphabet), self.matrix.levels, self.start)]
         for part in map(pack, parts):
             image += [struct.pack("<Q", len(part)), part]
@@ -170,7 +190,7 @@ class Shard:
 
     @classmethod
     def from_bytes(cls, image: bytes) -> Shard:
-        magic, version, n, docs, _, levels, start = _HEAD.unpack_from(image)
+        magic, version, n, docs, codes, levels, start = _HEAD.unpack_from(image)
         if (magic, version) != (MAGIC, VERSION):
             raise ValueError("not a wavelet matrix file of this version")
         at, parts, unpack = _HEAD.size, [], zstandard.ZstdDecompressor().decompress
@@ -181,21 +201,24 @@ class Shard:
         known = np.frombuffer(parts[1][:docs], np.uint8) == 1
         numbers = np.frombuffer(parts[1][docs : 9 * docs], "<i8")
         planes = [np.frombuffer(p, "<u8") for p in parts[2 : 2 + levels]]
-        return cls(WaveletMatrix(planes, n), np.frombuffer(parts[0], "<u4"), pa.array(numbers, mask=~known), np.frombuffer(parts[1][9 * docs :], "<i8"), start)
+        return cls(WaveletMatrix(planes, n), *np.split(np.frombuffer(parts[0], "<u4"), [codes]), pa.array(numbers, mask=~known), np.frombuffer(parts[1][9 * docs :], "<i8"), start)
 
 
 def write_token_files(df: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """A written table of file images: part, start (ids before it in its part), n_ids and image.
 
-    Rows are dealt to parts by ranges of doc_id and sorted, so parts, and images in a part, are in
-    ascending doc_id order. Each document is its ids and `end_id`. Null texts are empty, null ids
-    come first, repeated rows follow each other.
+    Rows are dealt to parts by ranges of doc_id, then of a hash of the text, and sorted, so parts, and
+    images in a part, are in ascending doc_id order, and rows of one id, or without one, may be of many
+    parts. Each document is its ids and `end_id`. Null texts are empty, null ids come first, rows of one
+    id are in order of that hash. Texts of any length are split where no token can cross. An empty table
+    gives no image.
     """
     spark = df.sparkSession
     told = described(spark, tokenizer_path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    rows = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text")
+    rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, start, part = Encoder.of(told.value), 0, 0

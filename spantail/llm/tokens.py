@@ -20,7 +20,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from spantail.llm.common import byte_slices, in_arrow, text_bytes
 
-#: Pieces that a worker remembers, and the bytes of the longest of them; beyond, it starts afresh.
-REMEMBERED, LONGEST = 500_000, 64
+#: Pieces that a worker remembers, and the bytes of the longest of them; beyond, only those stay that came in several batches.
+REMEMBERED, LONGEST = 1_200_000, 64
 #: Pieces that the library encodes in one call.
 CALL = 8192
 #: One word of letters that every Unicode version takes for letters, composed, and lower-cased one by one.
@@ -111,8 +111,20 @@ class Encoder:
         self.length = np.zeros(1 << 12, np.int32)
         self.begin = np.zeros(1 << 12, np.int64)
         self.ids = np.zeros(1 << 14, np.uint32)
+        self.met = np.zeros(1 << 12, np.int32)
         self.used = self.filled = 0
 
+    def _forget(self) -> None:
+        """Only pieces met in two batches or more since the last time stay, and none if these are half of all."""
+        kept = [(p, s) for p, s in self.slot.items() if self.met[s] > 1]
+        old, length, begin = np.array([s for _, s in kept], np.int64), self.length, self.begin
+        ids = self.ids
+        self._clear()
+        if 0 < len(kept) <= REMEMBERED // 2:
+            sizes = length[old]
+            flat = ids[np.repeat(begin[old] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            self._store([p for p, _ in kept], sizes, flat)
+
     def _library(self, texts: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, and all ids. plain: each text is one word."""
         if plain:
@@ -134,12 +146,13 @@ class Encoder:
     def _store(self, pieces: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> None:
         n, m = self.used + len(pieces), self.filled + len(flat)
         while n > len(self.length):
-            self.length, self.begin = np.resize(self.length, 2 * len(self.length)), np.resize(self.begin, 2 * len(self.begin))
+            self.length, self.begin, self.met = (np.resize(x, 2 * len(x)) for x in (self.length, self.begin, self.met))
         while m > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.length[self.used : n] = sizes
         self.begin[self.used : n] = self.filled + np.cumsum(sizes) - sizes
         self.ids[self.filled : m] = flat
+        self.met[self.used : n] = 0
         self.slot.update(zip(pieces, range(self.used, n), strict=True))
         self.used, self.filled = n, m
 
@@ -149,14 +162,17 @@ class Encoder:
         coded = held.dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         if self.used > REMEMBERED or self.filled > 16 * REMEMBERED:
-            self._clear()
-        missing = [p for p in pieces if p not in self.slot]
-        if missing:
+            self._forget()
+        slots = np.fromiter(map(self.slot.get, pieces, repeat(-1)), np.int64, len(pieces))
+        absent = np.flatnonzero(slots < 0)
+        if len(absent):
+            missing = [pieces[i] for i in absent.tolist()]
             self._add(missing)
-        slots = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
-        for p in missing:
-            if len(p) > LONGEST:
-                del self.slot[p]
+            slots[absent] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
+            for p in missing:
+                if len(p) > LONGEST:
+                    del self.slot[p]
+        self.met[slots] += 1
         return slots[coded.indices.to_numpy(zero_copy_only=False)]
 
     def _starts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from typing import Any
 
 #: Defaults of the sampler and of the store.
 DECISION_WAIT_S, MAX_TRACES, MAX_SPANS_PER_TRACE = 5.0, 50_000, 10_000
 BATCH_SIZE, FLUSH_INTERVAL_S, TABLE = 10_000, 5.0, "spans"
+#: Sparse columns of a store, unless it is told otherwise: keys that come once a request mustn't widen it without end.
+MAX_ATTR_COLUMNS = 1000
 
 
 class ConfigError(ValueError):
@@ -15,23 +19,33 @@ class ConfigError(ValueError):
 
 @dataclass(frozen=True)
 class PolicyConfig:
-    """One policy: status_code with `keep`, or latency with `threshold_ms`."""
+    """One policy: status_code with `keep`, latency with `threshold_ms`, or one that was registered, with its `options`."""
 
     type: str = ""
     keep: str = ""
     threshold_ms: int = 0
+    options: Mapping[str, Any] = field(default_factory=dict)
 
     def validate(self) -> None:
         if not self.type:
             raise ConfigError("a policy needs a type")
-        if self.type == "status_code":
-            if not self.keep:
-                raise ConfigError("status_code: keep is needed")
-        elif self.type == "latency":
-            if self.threshold_ms <= 0:
-                raise ConfigError("latency: threshold_ms must be positive")
-        else:
+        if self.type not in CHECKS:
             raise ConfigError(f"unknown policy type {self.type!r}")
+        CHECKS[self.type](self)
+
+
+def _has_keep(config: PolicyConfig) -> None:
+    if not config.keep:
+        raise ConfigError("status_code: keep is needed")
+
+
+def _has_threshold(config: PolicyConfig) -> None:
+    if config.threshold_ms <= 0:
+        raise ConfigError("latency: threshold_ms must be positive")
+
+
+#: What each policy type asks of its settings; operators.policies.register adds to it.
+CHECKS: dict[str, Callable[[PolicyConfig], None]] = {"status_code": _has_keep, "latency": _has_threshold}
 
 
 @dataclass(frozen=True)
@@ -50,14 +64,18 @@ class SamplerConfig:
 
 @dataclass(frozen=True)
 class StoreConfig:
-    """Where spans are stored. location may hold a password and isn't shown."""
+    """Where spans are stored. location may hold a password and isn't shown.
+
+    batch_size: rows that a writer gathers; flush_interval_s: seconds after which it sends fewer, and
+    between the micro-batches of a stream; max_attr_columns: sparse columns, without a limit if 0.
+    """
 
     location: str = field(default="", repr=False)
     database: str = ""
     table: str = TABLE
     batch_size: int = BATCH_SIZE
     flush_interval_s: float = FLUSH_INTERVAL_S
-    max_attr_columns: int = 0
+    max_attr_columns: int = MAX_ATTR_COLUMNS
 
     def validate(self) -> None:
         if not self.location:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spantail.config import PolicyConfig
+from spantail.config import CHECKS, PolicyConfig
 
 Policy = tuple[str, Column]
 
@@ -21,13 +21,19 @@ def latency(threshold_ns: int) -> Column:
     return F.col("duration_ns") >= threshold_ns
 
 
-#: Policy types by name; add to it to offer others.
+#: Policy types by name.
 POLICIES: dict[str, Callable[[PolicyConfig], Column]] = {
     "status_code": lambda c: status_code(c.keep),
     "latency": lambda c: latency(c.threshold_ms * 1_000_000),
 }
 
 
+def register(name: str, build: Callable[[PolicyConfig], Column], check: Callable[[PolicyConfig], None] | None = None) -> None:
+    """Offers one more policy type: build makes the condition over a span, check raises ConfigError for settings it can't use."""
+    POLICIES[name] = build
+    CHECKS[name] = check or (lambda config: None)
+
+
 def compiled(configs: Iterable[PolicyConfig]) -> list[Policy]:
     """(name, condition) in order."""
     out = []

@@ -1,8 +1,9 @@
 """The sampler with a cap on traces: one ordered run over all batches.
 
 A cap on the number of buffered traces couples every trace to every other, so its exact outcome needs
-one total order. `Sampler` is that machine; `replayed` runs it in a single task over a bounded table and
-is for checks and for small inputs. Large inputs go without the cap (operators.replay, streaming).
+one total order. `Sampler` is that machine; `replayed` runs it in a single task, so it refuses tables of
+more than `most` spans. Large inputs go without the cap (operators.replay, streaming.sampler) or share it
+out to buckets (streaming.capped).
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 from spantail.operators.policies import Policy, matches
 
 
+#: Spans that one task takes: some 300 bytes each, in pandas and as Python objects.
+MOST = 5_000_000
+
+
 @dataclass
 class Span:
     trace_id: str
@@ -116,8 +121,10 @@ class Sampler:
         return {i: len(self.traces[i].spans) for i in dict.fromkeys(ids) if i in self.traces}
 
 
-def replayed(spans: DataFrame, policies: Sequence[Policy], order: Sequence[str], batch_col: str = "batch", wait: int = 0, max_traces: int = 0, max_spans: int = 0) -> DataFrame:
+def replayed(spans: DataFrame, policies: Sequence[Policy], order: Sequence[str], batch_col: str = "batch", wait: int = 0, max_traces: int = 0, max_spans: int = 0, most: int = MOST) -> DataFrame:
     """trace_id, span_id and batch of each forwarded span, by one run in the order of batches and `order`."""
+    if (n := spans.count()) > most:
+        raise ValueError(f"{n} spans are too many for one task; the limit is {most}")
     rows = spans.select("trace_id", "span_id", F.col(batch_col).cast("long").alias("batch"), matches(policies).alias("match"), F.struct(*order).alias("__order"))
     rows = rows.withColumn("__number", F.row_number().over(Window.orderBy("batch", "__order"))).drop("__order")
 

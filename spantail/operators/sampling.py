@@ -71,8 +71,10 @@ def capped(spans: DataFrame, max_spans: int, arrival: Sequence[str]) -> DataFram
     """spans with `fate`: kept, duplicate, or dropped.
 
     A span is dropped if the trace holds max_spans distinct ones already, even if it repeats one of
-    them; only then is it a duplicate. Zero or less: no cap.
+    them; only then is it a duplicate. Zero or less: no cap. Spans are dealt by trace once, which serves
+    both windows and whatever groups by trace after them.
     """
+    spans = spans.repartition("trace_id")
     by_trace = Window.partitionBy("trace_id").orderBy(*arrival)
     fresh = F.when(_zero(), F.lit(1)).otherwise((F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy(*arrival)) == 1).cast("int"))
     held = F.coalesce(F.sum("__fresh").over(by_trace.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

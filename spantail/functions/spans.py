@@ -40,6 +40,33 @@ def attribute_map(attributes: Column) -> Column:
     return F.coalesce(last, F.create_map().cast("map<string,string>"))
 
 
+def number_text(value: Column) -> Column:
+    """A double as JSON and ECMAScript write it: plain decimals from 1e-6 to below 1e21, beyond them an exponent."""
+    text = value.cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa, power = F.regexp_extract(text, "^-?([0-9.]+)", 1), F.coalesce(F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    whole = F.substring_index(mantissa, ".", 1)
+    every = F.concat(whole, F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise(""))
+    lead = F.length(F.regexp_extract(every, "^0*", 0))
+    digits = F.regexp_replace(F.regexp_replace(every, "^0+", ""), "0+$", "")
+    point, n = F.length(whole) + power - lead, F.length(digits)
+    plain = F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)).when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n))).otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+    tail = F.substr(digits, F.lit(2))
+    short = F.concat(F.substring(digits, 1, 1), F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)), F.when(point > 0, "e+").otherwise("e-"), F.abs(point - 1).cast("string"))
+    finite = F.when(digits == "", F.concat(sign, F.lit("0"))).when((F.abs(value) < 1e-6) | (F.abs(value) >= 1e21), F.concat(sign, short)).otherwise(F.concat(sign, plain))
+    odd = F.when(F.isnan(value), "NaN").when(value > 0, "+Inf").otherwise("-Inf")
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.concat(F.lit("json: unsupported value: "), odd)).when(value.isNotNull(), finite)
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string literal, null for null; <, > and & are escaped too."""
+    out = F.to_json(F.struct(text.alias("v")))
+    out = F.substr(out, F.lit(6), F.length(out) - 6)
+    for sign, escaped in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        out = F.replace(out, F.lit(sign), F.lit(escaped))
+    return F.when(text.isNotNull(), out)
+
+
 def attribute(attributes: Column, key: str) -> Column:
     """The value of a key, or the empty string."""
     return F.coalesce(F.try_element_at(attributes, F.lit(key)), F.lit(""))

@@ -3,21 +3,26 @@
 Base columns are fixed. Each attribute key gets a sparse column with a Bloom filter, so an equality
 on it skips row groups; a key that a row lacks reads as the empty string. Files are sorted by time,
 then trace, so that both prune by minimum and maximum. Keys are registered before the rows that use
-them are written. A batch that carries an id is written to a folder of its own and replaces an earlier
-try of the same batch, so a replayed batch is stored once.
+them are written. Keys beyond the limit of columns stay in the map, and the store remembers which, so
+that a lookup reads the map where the column isn't whole. Every batch is a folder of its own: one that
+carries a number replaces an earlier try of that number by the same stream and no other, one without is
+appended under a name that is never used again.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from spantail.config import StoreConfig
 from spantail.functions.naming import attr_column, qualified, quote_ident, quote_string
+from spantail.shared import hadoop
 
 BASE_SCHEMA = "timestamp timestamp, timestamp_ns bigint, trace_id string, span_id string, name string, status_code string, duration_ns bigint, attributes map<string,string>"
 BASE = ("timestamp", "timestamp_ns", "trace_id", "span_id", "name", "status_code", "duration_ns", "attributes")
@@ -40,10 +45,11 @@ def with_attribute_columns(rows: DataFrame, keys: Iterable[str]) -> DataFrame:
 
 @dataclass
 class Stats:
-    """Counts since the store was opened."""
+    """Counts since the store was opened. Rebuffered rows are those of failed batches, which come again."""
 
     flush_attempts: int = 0
     flush_failures: int = 0
+    rebuffered_rows: int = 0
     rows_written: int = 0
     batches_written: int = 0
 
@@ -62,8 +68,7 @@ class SpanStore:
 
     # Files of the registry are small JSON rows, read and written by Spark, so any file system will do.
     def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+        return hadoop(self.spark, path)
 
     def _exists(self, path: str) -> bool:
         fs, at = self._fs(path)
@@ -74,11 +79,13 @@ class SpanStore:
         if not self._exists(f"{self.root}/data"):
             self.spark.createDataFrame([], BASE_SCHEMA).write.mode("ignore").parquet(f"{self.root}/data/batch=base")
 
+    def _registry(self, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        return self.spark.read.schema("key string").json(path) if self._exists(path) else self.spark.createDataFrame([], "key string")
+
     def keys(self) -> list[str]:
         """Registered attribute keys, in order."""
-        if not self._exists(f"{self.root}/keys"):
-            return []
-        return [r.key for r in self.spark.read.schema("key string").json(f"{self.root}/keys").distinct().orderBy("key").collect()]
+        return [r.key for r in self._registry("keys").distinct().orderBy("key").collect()]
 
     def add_attribute_columns(self, keys: Iterable[str]) -> list[str]:
         """Registers keys that aren't yet; returns those added. Names of equal columns can't differ in their key's hash."""
@@ -87,41 +94,70 @@ class SpanStore:
             self.spark.createDataFrame([(k,) for k in added], "key string").coalesce(1).write.mode("append").json(f"{self.root}/keys")
         return added
 
-    def write(self, rows: DataFrame, batch_id: int | str | None = None, max_records_per_file: int | None = None) -> int:
-        """Appends rows (columns of BASE) and returns their number; an empty batch writes nothing."""
+    def _columns_for(self, rows: DataFrame) -> list[str]:
+        """The keys of rows that get a column, after those that are new were registered as far as the limit goes. Only these come to the driver."""
+        known, limit = self.keys(), self.config.max_attr_columns
+        fresh = new_keys(rows, self._registry("keys"))
+        if limit:
+            fresh = fresh.orderBy("key").limit(max(0, limit - len(known)))
+        self.add_attribute_columns(r.key for r in fresh.collect())
+        if limit:
+            beyond = new_keys(rows, self._registry("keys"))
+            if not beyond.isEmpty():
+                beyond.write.mode("append").json(f"{self.root}/beyond")
+        return sorted(r.key for r in distinct_keys(rows).join(F.broadcast(self._registry("keys").distinct()), "key", "left_semi").collect())
+
+    def write(self, rows: DataFrame, batch_id: int | str | None = None, max_records_per_file: int | None = None, stream: str = "") -> int:
+        """Appends rows (columns of BASE) and returns their number; an empty batch writes nothing.
+
+        A batch_id names the batch within its stream, so that a second try replaces the first.
+        """
         rows = rows.select(*[F.coalesce("attributes", F.create_map().cast("map<string,string>")).alias("attributes") if c == "attributes" else c for c in BASE])
-        rows = rows.persist()
+        rows, n = rows.persist(), 0
         try:
             n = rows.count()
             if not n:
                 return 0
             self.stats.flush_attempts += 1
             self.ensure_base_schema()
-            met = [r.key for r in distinct_keys(rows).collect()]
-            known = self.keys()
-            limit = self.config.max_attr_columns
-            fresh = sorted(set(met) - set(known))
-            self.add_attribute_columns(fresh[: max(0, limit - len(known))] if limit else fresh)
-            keys = [k for k in self.keys() if k in set(met)]
+            keys = self._columns_for(rows)
             wide = with_attribute_columns(rows, keys)
             out = wide.repartitionByRange("timestamp", "trace_id").sortWithinPartitions("timestamp", "timestamp_ns", "trace_id").write
             out = out.option("compression", "zstd").option("maxRecordsPerFile", max_records_per_file or 0)
             for c in ("trace_id", *map(attr_column, keys)):
                 out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
-            name = f"batch={batch_id}" if batch_id is not None else f"batch=n{self.spark.sparkContext.applicationId}-{self.stats.batches_written}"
-            out.mode("overwrite").parquet(f"{self.root}/data/{name}")
+            name = f"s{stream}-{batch_id}" if batch_id is not None else f"u{uuid.uuid4().hex}"
+            out.mode("overwrite").parquet(f"{self.root}/data/batch={name}")
             self.stats.rows_written += n
             self.stats.batches_written += 1
             return n
         except Exception:
             self.stats.flush_failures += 1
+            self.stats.rebuffered_rows += n
             raise
         finally:
             rows.unpersist()
 
-    def sink(self):
-        """For foreachBatch: a replayed micro-batch replaces its first try."""
-        return lambda df, batch_id: self.write(df, batch_id)
+    def sink(self, stream: str | None = None) -> Callable[[DataFrame, int], int]:
+        """For foreachBatch: a replayed micro-batch replaces its first try, and no batch of another stream.
+
+        A stream is told by the id of its query, which its checkpoint holds, or by the name given here,
+        which then must change with the checkpoint.
+        """
+
+        def put(df: DataFrame, batch_id: int) -> int:
+            name = stream or df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            if not name:
+                raise ValueError("the stream's query isn't known; give sink() a name")
+            return self.write(df, batch_id, stream=name)
+
+        return put
+
+    def stream(self, rows: DataFrame, checkpoint: str, name: str | None = None) -> StreamingQuery:
+        """Starts a query that appends a stream of rows every flush_interval_s, or as fast as it can if that is 0."""
+        out = rows.writeStream.foreachBatch(self.sink(name)).option("checkpointLocation", checkpoint)
+        seconds = self.config.flush_interval_s
+        return (out.trigger(processingTime=f"{round(seconds * 1000)} milliseconds") if seconds else out).start()
 
     def read(self) -> DataFrame:
         """All rows; sparse columns of every registered key, the empty string where a file lacks one."""
@@ -136,15 +172,52 @@ class SpanStore:
         return sorted(c for c in self.read().columns if c.startswith("attr_"))
 
     def where_attr(self, key: str, value: str) -> DataFrame:
-        """Rows whose attribute has the value, answered from the sparse column, whose filters skip files and row groups."""
-        rows = self.read()
-        column = attr_column(key)
+        """Rows whose attribute has the value, answered from the sparse column, whose filters skip files and row groups.
+
+        Where the key was met beyond the limit of columns, rows without the column are looked up in the map.
+        """
+        rows, column = self.read(), attr_column(key)
+        mapped = F.try_element_at("attributes", F.lit(key))
         if column not in rows.columns:
-            return rows.where(F.coalesce(F.try_element_at("attributes", F.lit(key)), F.lit("")) == value)
+            return rows.where(F.coalesce(mapped, F.lit("")) == value)
+        if not self._registry("beyond").where(F.col("key") == key).isEmpty():
+            return rows.where(F.coalesce(column, mapped, F.lit("")) == value)
         if value == "":
             return rows.where(F.coalesce(column, F.lit("")) == "")
         return rows.where(F.col(column) == value)
 
+    def indexes(self, files: int = 100) -> DataFrame:
+        """column, row_groups, filters and dictionaries from the footers of the newest `files` files of the store.
+
+        filters: row groups with a Bloom filter; dictionaries: those whose values are all in a dictionary,
+        which Parquet reads instead, and for which it writes no filter. Columns with neither are left out.
+        """
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        fs, at = self._fs(f"{self.root}/data")
+        found = []
+        if fs.exists(at):
+            each = fs.listFiles(at, True)
+            while each.hasNext():
+                f = each.next()
+                if f.getPath().getName().endswith(".parquet"):
+                    found.append((f.getModificationTime(), f.getPath()))
+        counts: dict[str, list[int]] = {}
+        wanted = {"trace_id", *map(attr_column, self.keys())}
+        for _, path in sorted(found, key=lambda x: (x[0], x[1].toString()))[-files:]:
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+            try:
+                for block in reader.getFooter().getBlocks():
+                    for chunk in block.getColumns():
+                        if (name := chunk.getPath().toDotString()) in wanted:
+                            n, stats = counts.setdefault(name, [0, 0, 0]), chunk.getEncodingStats()
+                            filtered = chunk.getBloomFilterOffset() >= 0
+                            n[0] += 1
+                            n[1] += filtered
+                            n[2] += not filtered and stats is not None and stats.hasDictionaryPages() and not stats.hasNonDictionaryEncodedPages()
+            finally:
+                reader.close()
+        return self.spark.createDataFrame([(c, *n) for c, n in sorted(counts.items()) if n[1] or n[2]], "column string, row_groups int, filters int, dictionaries int")
+
     def where_trace(self, trace_id: str) -> DataFrame:
         return self.read().where(F.col("trace_id") == trace_id)
 

@@ -6,19 +6,19 @@ order, arrival by ship date). Policies: status ERROR, or a duration of at least
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spantail.config import PolicyConfig, SamplerConfig, StoreConfig
 from spantail.functions import spans as fn
-from spantail.functions.naming import attr_column
+from spantail.functions.naming import attr_column, qualified, quote_ident, quote_string
 from spantail.operators import exact, replay, sampling
 from spantail.operators.policies import compiled, first_match, matches
 from spantail.plans import metrics
-from spantail.sources import otlp, store
+from spantail.shared import new_path
+from spantail.sources import otlp, store, writer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,11 +153,15 @@ def unique_trace_ids(spark, sf_dir):
     return sampling.trace_ids(lineitem_spans(spark, sf_dir))
 
 
-@query(f"WITH {EVENTS} SELECT trace_id, count(*) AS spans FROM ev WHERE CAST(split_part(trace_id, '-', 1) AS BIGINT) < 10 GROUP BY 1")
+@query(f"""WITH {EVENTS}, cut AS (SELECT max(batch) - 6 AS b FROM ev), ids AS (SELECT DISTINCT trace_id FROM ev, cut WHERE batch > b),
+w AS (SELECT trace_id, batch, max(CASE WHEN {MATCH} THEN batch END) OVER (PARTITION BY trace_id) AS l FROM ev, cut WHERE batch <= b)
+SELECT trace_id, count(*) AS spans FROM w WHERE (l IS NULL OR batch > l) AND trace_id IN (SELECT trace_id FROM ids) GROUP BY 1""")
 def span_counts_of_traces(spark, sf_dir):
-    """Span counts of the traces asked for; others are left out."""
-    few = F.substring_index("trace_id", "-", 1).cast("long") < 10
-    return events_spans(spark, sf_dir).where(few).groupBy("trace_id").agg(F.count("*").alias("spans"))
+    """What waits of the traces that the last six batches bring; traces that don't wait are left out."""
+    spans = events_spans(spark, sf_dir)
+    cut = spans.agg(F.max("batch")).first()[0] - 6
+    ids = [r.trace_id for r in spans.where(F.col("batch") > cut).select("trace_id").distinct().collect()]
+    return sampling.buffered_span_counts(spans, policies(), ids=ids, until=cut)
 
 
 @query("SELECT 1 AS one")
@@ -223,7 +227,7 @@ def replay_forwarded_spans(spark, sf_dir):
 @query(f"""WITH RECURSIVE {EVENTS},
 pb AS (SELECT trace_id, batch, max(CASE WHEN {MATCH} THEN 1 ELSE 0 END) AS keep, count(*) AS n, row_number() OVER (PARTITION BY trace_id ORDER BY batch) AS i FROM ev GROUP BY 1, 2),
 b AS (SELECT DISTINCT batch FROM ev),
-due AS (SELECT x.batch, min(y.batch) AS due FROM b x LEFT JOIN b y ON y.batch >= x.batch + 6 AND y.batch < x.batch + 400 GROUP BY 1),
+due AS (SELECT x.batch, y.batch AS due FROM b x ASOF LEFT JOIN b y ON x.batch + 6 <= y.batch),
 st AS (
   SELECT p.trace_id, p.i, p.batch AS arrival, d.due, p.batch AS last, p.n AS n, p.keep, CAST(NULL AS BIGINT) AS x_first, CAST(NULL AS BIGINT) AS x_last, CAST(NULL AS HUGEINT) AS x_n,
          CASE WHEN p.keep = 1 THEN 'sampled' END AS fate
@@ -262,6 +266,7 @@ def max_traces_fifo(spark, sf_dir):
 
 @query()
 def max_traces_exact(spark, sf_dir):
+    """No SQL: each step hangs on which of all traces was evicted before; tests hold it against the machine itself."""
     return exact.replayed(events_spans(spark, sf_dir), policies(), ["event_id"], wait=6, max_traces=50, max_spans=100)
 
 
@@ -288,18 +293,43 @@ def hex_ids(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", fn.hex_id(value).alias("span_id"))
 
 
-@query(f"WITH {EVENTS} SELECT {COLUMNS}, k, timestamp_ns AS start_unix_nano FROM ev")
+@query(f"WITH {EVENTS} SELECT {COLUMNS}, k, timestamp_ns AS start_unix_nano, 'shop' AS service, 'lib' AS scope FROM ev")
 def otlp_roundtrip(spark, sf_dir):
     """Spans nested as batches on the wire, then flattened."""
-    spans = events_spans(spark, sf_dir)
-    text = lambda v: F.struct(v.alias("stringValue"), *[F.lit(None).cast(t).alias(n) for n, t in (("intValue", "string"), ("doubleValue", "double"), ("boolValue", "boolean"), ("bytesValue", "string"), ("arrayValue", "string"), ("kvlistValue", "string"))])
-    start = F.col("timestamp_ns")
-    attributes = F.transform(F.map_entries("attributes"), lambda a: F.struct(a["key"].alias("key"), text(a["value"]).alias("value")))
-    span = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), "name", F.lit(2).alias("kind"), F.struct(F.when(F.col("status_code") == "ERROR", 2).when(F.col("status_code") == "OK", 1).otherwise(0).alias("code")).alias("status"), start.cast("string").alias("startTimeUnixNano"), (start + F.col("duration_ns")).cast("string").alias("endTimeUnixNano"), attributes.alias("attributes"))
-    no_attributes = F.array().cast(otlp._ATTRS)
-    scopes = spans.groupBy("trace_id").agg(F.struct(F.struct(F.lit("lib").alias("name"), F.lit("1").alias("version")).alias("scope"), F.lit("").alias("schemaUrl"), F.collect_list(span).alias("spans")).alias("s"))
-    nested = scopes.select(F.array(F.struct(F.struct(no_attributes.alias("attributes")).alias("resource"), F.lit("").alias("schemaUrl"), F.array("s").alias("scopeSpans"))).alias("resourceSpans"))
-    return otlp.flatten(nested).select("trace_id", F.when(F.col("span_id") == "", "0").otherwise(F.col("span_id")).alias("span_id"), "name", "status_code", "duration_ns", fn.attribute(F.col("attributes"), "k").alias("k"), "start_unix_nano")
+    resource, scope = (F.from_json(F.lit(text), kind) for text, kind in (('{"attributes":[{"key":"service.name","value":{"stringValue":"shop"}}]}', otlp._RESOURCE), ('{"name":"lib","version":"1"}', otlp._SCOPE)))
+    spans = events_spans(spark, sf_dir).select("trace_id", "span_id", "name", "status_code", "duration_ns", "attributes", F.col("timestamp_ns").alias("start_unix_nano"), resource.alias("resource"), scope.alias("scope"))
+    flat = otlp.flatten(otlp.nest(spans))
+    return flat.select("trace_id", F.when(F.col("span_id") == "", "0").otherwise(F.col("span_id")).alias("span_id"), "name", "status_code", "duration_ns", fn.attribute(F.col("attributes"), "k").alias("k"), "start_unix_nano", F.col("resource.attributes")[0]["value"]["stringValue"].alias("service"), F.col("scope.name").alias("scope"))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS span_id, regexp_replace(CAST(round(value, 2) AS VARCHAR), '[.]0$', '') AS plain, event_id || '000000000000000' AS large, rtrim('0.00' || (1000 + event_id % 1000), '0') AS small, CAST(event_id % 2 = 0 AS VARCHAR) AS flag,
+'["' || event_type || '",' || (event_id % 9) || ',[false,null]]' AS list, '{"a":"x\\u003cy","b":{"n":' || event_id || '}}' AS map FROM events WHERE event_id > 0""")
+def otlp_attribute_text(spark, sf_dir):
+    """Numbers, arrays and maps on the wire as text."""
+    of = lambda key, value: F.concat(F.lit(f'{{"key":"{key}","value":'), value, F.lit("}"))
+    put = lambda kind, value: F.concat(F.lit(f'{{"{kind}":'), value.cast("string"), F.lit("}"))
+    word = lambda value: F.concat(F.lit('"'), value.cast("string"), F.lit('"'))
+    n = F.col("event_id")
+    inner = '{"arrayValue":{"values":[{"boolValue":false},{}]}}'
+    listed = F.concat(F.lit('{"arrayValue":{"values":['), put("stringValue", word(F.col("event_type"))), F.lit(","), put("intValue", word(n % 9)), F.lit(f",{inner}]}}}}"))
+    mapped = F.concat(F.lit('{"kvlistValue":{"values":[{"key":"b","value":{"kvlistValue":{"values":[{"key":"n","value":'), put("intValue", word(n)), F.lit('}]}}},{"key":"a","value":{"stringValue":"x<y"}}]}}'))
+    attributes = F.concat_ws(",", of("plain", put("doubleValue", F.round("value", 2))), of("large", put("doubleValue", n * F.lit(1e15))), of("small", put("doubleValue", (1000 + n % 1000) / F.lit(1e6))), of("flag", put("boolValue", n % 2 == 0)), of("list", listed), of("map", mapped))
+    line = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"0a","spanId":"'), n.cast("string"), F.lit('","startTimeUnixNano":"1","endTimeUnixNano":"2","attributes":['), attributes, F.lit("]}]}]}]}"))
+    rows = _read(spark, sf_dir, "events").where(n > 0).select(F.from_json(line, otlp.JSON_SCHEMA).alias("b")).select("b.*")
+    return otlp.flatten(rows).select("span_id", *[fn.attribute(F.col("attributes"), k).alias(k) for k in ("plain", "large", "small", "flag", "list", "map")])
+
+
+@query("SELECT event_id, epoch_us(ts) AS micros FROM events")
+def timestamp_from_nanos(spark, sf_dir):
+    """The instant of nanoseconds, whose last three digits a timestamp hasn't got."""
+    rows = events_spans(spark, sf_dir)
+    return rows.select("event_id", F.unix_micros(fn.timestamp_of_ns(F.col("timestamp_ns") + F.col("event_id") % 1000)).alias("micros"))
+
+
+@query("""SELECT name, '`' || replace(name, '`', '``') || '`' AS ident, chr(39) || replace(replace(name, chr(92), chr(92) || chr(92)), chr(39), chr(92) || chr(39)) || chr(39) AS string,
+'`db`.`' || replace(name, '`', '``') || '`' AS qualified FROM (VALUES ('plain'), ('o' || chr(39) || 'reilly'), ('a`b'), ('a' || chr(92) || 'b')) AS t(name)""")
+def quoted_names(spark, sf_dir):
+    return spark.createDataFrame([(n, quote_ident(n), quote_string(n), qualified("db", n)) for n in ("plain", "o'reilly", "a`b", "a" + chr(92) + "b")], "name string, ident string, string string, qualified string")
 
 
 @query(f"WITH {EVENTS} SELECT span_id, k FROM ev")
@@ -345,8 +375,7 @@ def events_store(spark: SparkSession, sf_dir: str) -> store.SpanStore:
     """The store of all events spans, written once an application, in the folder the cluster shares."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spantail-store-")
-        made = store.SpanStore(spark, StoreConfig(location=f"{shared}/{key[0]}", database="traces", table=f"spans{len(_STORES)}"))
+        made = store.SpanStore(spark, StoreConfig(location=new_path(spark, "store"), database="traces"))
         made.write(_keyed(spark, sf_dir), batch_id=0)
         _STORES[key] = made
     return _STORES[key]
@@ -390,14 +419,50 @@ def store_sparse_columns(spark, sf_dir):
     return spark.createDataFrame([(n[:-8],) for n in names], "column_name string")
 
 
+@query("""SELECT column_name FROM (SELECT DISTINCT CASE event_type WHEN 'view' THEN 'attr_at_op_view_' ELSE 'attr_at_op_' || event_type || '_' END AS column_name FROM events UNION SELECT 'attr_k_')""")
+def store_bloom_indexes(spark, sf_dir):
+    """Columns all of whose row groups an equality can skip, by the files' footers, without their hash."""
+    found = events_store(spark, sf_dir).indexes().where("row_groups = filters + dictionaries").where(F.col("column").startswith("attr_"))
+    return found.select(F.expr("left(column, length(column) - 8)").alias("column_name")).distinct()
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    rows = _keyed(spark, sf_dir)
+    return [rows.where(F.col("event_id") % 5 == i) for i in range(5)]
+
+
+@query(f"WITH {EVENTS} SELECT {COLUMNS} FROM ev")
+def store_appends(spark, sf_dir):
+    """Batches from several store objects and streams, one of them replayed: every span is stored once."""
+    config = StoreConfig(location=new_path(spark, "appends"))
+    one, two = store.SpanStore(spark, config), store.SpanStore(spark, config)
+    parts = _batches(spark, sf_dir)
+    one.write(parts[0])
+    two.write(parts[1])
+    one.write(parts[2], batch_id=0, stream="a")
+    two.write(parts[3], batch_id=0, stream="b")
+    two.write(parts[2], batch_id=0, stream="a")
+    one.write(parts[4], batch_id=1, stream="a")
+    return two.read().select(*SPAN)
+
+
+@query(f"WITH {EVENTS} SELECT {COLUMNS} FROM ev WHERE k = '7'")
+def store_lookup_beyond_columns(spark, sf_dir):
+    """An attribute that first came when the store had no column left, and has one by now."""
+    where = new_path(spark, "beyond")
+    parts = _batches(spark, sf_dir)
+    for limit, some in ((1, parts[:2]), (0, parts[2:])):
+        held = store.SpanStore(spark, StoreConfig(location=where, max_attr_columns=limit))
+        for part in some:
+            held.write(part)
+    return held.where_attr("k", "7").select(*SPAN)
+
+
 @query("""WITH w AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)
 SELECT user_id, i // 10 AS flush, count(*) AS "rows" FROM w GROUP BY 1, 2""")
 def flush_batches(spark, sf_dir):
     """Batches of 10 rows that a writer for each user would have flushed; the last may be smaller."""
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    rows = _read(spark, sf_dir, "events").withColumn("flush", F.floor(number / 10))
+    rows = writer.flushes(_read(spark, sf_dir, "events"), ["user_id"], ["event_id"], 10)
     return rows.groupBy("user_id", "flush").agg(F.count("*").alias("rows"))
 
 
@@ -407,14 +472,23 @@ i AS (SELECT name, CAST(floor(epoch_us(ts) / 300000000) AS BIGINT) * 300 AS wind
 SELECT name, window_epoch, CAST(sum(increase) AS BIGINT) AS increase, round(sum(increase) / 300.0::DOUBLE, 9) AS rate FROM i GROUP BY 1, 2""")
 def metric_rate_5m(spark, sf_dir):
     """A counter for each type of event that starts anew after 49."""
-    from pyspark.sql import Window
-
     value = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) % 50
     counters = _read(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("ts"), "event_id", value.alias("value"))
     out = metrics.rates(counters, order=("event_id",))
     return out.select("name", F.unix_timestamp("window_start").alias("window_epoch"), "increase", "rate")
 
 
+@query("""WITH c AS (SELECT event_type AS name, ts, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) % 50 AS value FROM events),
+d AS (SELECT *, lag(value) OVER (PARTITION BY name ORDER BY event_id) AS before FROM c),
+i AS (SELECT name, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) * 3600 AS window_epoch, CASE WHEN before IS NULL THEN 0 WHEN value < before THEN value ELSE value - before END AS increase FROM d)
+SELECT name, window_epoch, CAST(sum(increase) AS BIGINT) AS increase FROM i GROUP BY 1, 2 HAVING sum(increase) / 3600.0::DOUBLE > 0.001""")
+def metric_alerts(spark, sf_dir):
+    """Hours in which a counter grew by more than one in a thousand seconds."""
+    value = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) % 50
+    counters = _read(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("ts").cast("timestamp").alias("ts"), "event_id", value.alias("value"))
+    return metrics.alerts(metrics.rates(counters, order=("event_id",), width="1 hour"), 0.001).select("name", F.unix_timestamp("window_start").alias("window_epoch"), "increase")
+
+
 @query(f"""WITH {LINES}, {CAPPED}, t AS (SELECT trace_id, count_if(fate = 'kept') AS k, count_if(fate = 'dropped') AS d, bool_or(fate = 'kept' AND {MATCH}) AS m FROM c GROUP BY 1)
 SELECT round(CAST(sum(CASE WHEN m THEN k END) AS DOUBLE) / (sum(CASE WHEN m THEN k END) + sum(d)), 6) AS keep_ratio FROM t""")
 def keep_ratio(spark, sf_dir):

@@ -11,27 +11,32 @@ documents it reads into shards of words, coded by the shard's own vocabulary, an
   through it at once, by ranks;
 - rows found are traced back by ranks to a sampled suffix position.
 
-Occurrences are merged to spans of words and of code points. Nothing is shuffled; what a task holds
-is one shard. Benchmarks go to the tasks in blocks of bounded bytes; each block is one more pass.
+Occurrences are merged to spans of words and of code points. Nothing is shuffled. Benchmarks go to the
+tasks in blocks of bounded bytes, compressed; each shard is indexed once and searched for one block
+after the other. What a task holds is one shard, one block, and the compressed blocks: a benchmark of
+1 GB is some 300 MB of them.
 
 Null texts and texts without words have no words; nulls and empty items have no phrases. Rows of
 one item_id are one item; a null item_id counts as the empty string. Repeated documents each get
-their row. An empty benchmark leaves every document clean; an empty table gives no rows.
+their row. Very long texts are indexed in several shards that overlap by window - 1 words. An empty
+benchmark leaves every document clean; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spantail.llm.common import byte_slices, in_arrow, others, text_bytes
-from spantail.llm.native import merged
 from spantail.llm.wavelet import WaveletMatrix
 
 #: Words in a shard, about; a document isn't cut. Words in a segment besides the overlap. Every so many positions of a segment are sampled.
@@ -171,52 +176,68 @@ class Phrases:
         self.item_at = np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
 
 
-def _occurrences(words: pa.Array, edge: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Places among the words where a phrase starts, and which; one index after the other, each over SHARD_WORDS and the overlap."""
-    places, which, overlap = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], phrases.window - 1
+class Blocks:
+    """The phrases of all items, block by block."""
+
+    def __init__(self, packed: list[Broadcast]):
+        self.packed, self.only = packed, None
+
+    @staticmethod
+    def pack(phrases: Phrases) -> bytes:
+        return zstandard.ZstdCompressor().compress(pickle.dumps(phrases))
+
+    def __iter__(self) -> Iterator[Phrases]:
+        if self.only is not None:
+            yield self.only
+            return
+        for b in self.packed:
+            phrases = pickle.loads(zstandard.ZstdDecompressor().decompress(b.value))
+            if len(self.packed) == 1:
+                self.only = phrases
+            yield phrases
+
+
+def _occurrences(words: pa.Array, edge: np.ndarray, blocks: Blocks, window: int) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray]]:
+    """Phrases, places among the words where one starts, and which; one index after the other, each over SHARD_WORDS and the overlap."""
     for a in range(0, len(words), SHARD_WORDS):
-        b = min(len(words), a + SHARD_WORDS + overlap)
-        coded = words[a:b].dictionary_encode()
-        known = pc.index_in(phrases.vocabulary, coded.dictionary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        mine = np.append(known, 0)[phrases.words]
-        possible = np.flatnonzero(((mine > 0) | (phrases.words < 0)).all(axis=1))
-        if not len(possible):
-            continue
-        index = FMIndex(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.clip(edge, a, b) - a, overlap)
-        found, low, high = index.search(mine[possible], phrases.length[possible])
-        count = high - low
-        places.append(a + index.locate(np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())))
-        which.append(np.repeat(possible[found], count))
-    return np.concatenate(places), np.concatenate(which)
-
-
-def _hits(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, list, list, list]:
+        b = min(len(words), a + SHARD_WORDS + window - 1)
+        coded, index = words[a:b].dictionary_encode(), None
+        for phrases in blocks:
+            known = pc.index_in(phrases.vocabulary, coded.dictionary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            mine = np.append(known, 0)[phrases.words]
+            possible = np.flatnonzero(((mine > 0) | (phrases.words < 0)).all(axis=1))
+            if not len(possible):
+                continue
+            index = index or FMIndex(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1, np.clip(edge, a, b) - a, window - 1)
+            found, low, high = index.search(mine[possible], phrases.length[possible])
+            if len(found):
+                count = high - low
+                yield phrases, a + index.locate(np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())), np.repeat(possible[found], count)
+
+
+def _hits(texts: pa.Array, blocks: Blocks, window: int) -> tuple[np.ndarray, list, list, list]:
     """For each text: its words, the merged spans found in words and in code points, and the items found."""
     raw, at = text_bytes(texts)
     words, first, last, edge = words_of(raw, at)
     n = len(at) - 1
-    spans, chars, items = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
-    if not len(words) or not len(phrases.length):
-        return np.diff(edge), spans, chars, items
-    place, which = _occurrences(words, edge, phrases)
-    if not len(place):
-        return np.diff(edge), spans, chars, items
+    spans, chars, items = [[] for _ in range(n)], [[] for _ in range(n)], [set() for _ in range(n)]
     cover = np.zeros(len(words) + 1, np.int32)
-    np.add.at(cover, place, 1)
-    np.add.at(cover, place + phrases.length[which], -1)
+    for phrases, place, which in _occurrences(words, edge, blocks, window):
+        np.add.at(cover, place, 1)
+        np.add.at(cover, place + phrases.length[which], -1)
+        times = np.diff(phrases.item_at)[which]
+        item = phrases.item[np.repeat(phrases.item_at[which] - np.cumsum(times) + times, times) + np.arange(times.sum())]
+        doc = np.searchsorted(edge, place, "right") - 1
+        for d, i in np.unique(np.stack([np.repeat(doc, times), item], 1), axis=0).tolist():
+            items[d].add(phrases.names[i])
     hit = np.cumsum(cover[:-1]) > 0
-    doc = np.searchsorted(edge, place, "right") - 1
-    times = np.diff(phrases.item_at)[which]
-    item = phrases.item[np.repeat(phrases.item_at[which] - np.cumsum(times) + times, times) + np.arange(times.sum())]
-    for d, i in np.unique(np.stack([np.repeat(doc, times), item], 1), axis=0).tolist():
-        items[d].append(phrases.names[i])
-    for d in np.unique(doc).tolist():
+    for d in [d for d, found in enumerate(items) if found]:
         mask = np.concatenate([[0], hit[edge[d] : edge[d + 1]].astype(np.int8), [0]])
         a, b = np.flatnonzero(np.diff(mask) == 1), np.flatnonzero(np.diff(mask) == -1)
         point = np.append(0, np.cumsum((raw[at[d] : at[d + 1]] & 0xC0) != 0x80))
         spans[d] = [{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
         chars[d] = [{"start": int(point[first[edge[d] + x] - at[d]]), "end": int(point[last[edge[d] + y - 1] - at[d]])} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-    return np.diff(edge), spans, chars, items
+    return np.diff(edge), spans, chars, [sorted(i) for i in items]
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -230,30 +251,25 @@ def contamination(df: DataFrame, benchmark: DataFrame, window: int = 10, text_co
     blocks = int(total // block_bytes) + 1
     made = ("n_words", "spans", "char_spans", "items")
     wanted = others(df.columns if keep is None else keep, *made)
-    kept = [*wanted, *[c for c in (text_col,) if blocks > 1 and c not in wanted]]
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("char_spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
-    out = None
+    packed = []
     for b in range(blocks):
         block = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else tests
-        held = spark.sparkContext.broadcast(Phrases([(r.item, r.text) for r in block.collect()], window))
-        before = [] if out is None else list(made)
-        rows = (df if out is None else out).select(F.col(text_col).alias("__text"), *kept, *[F.col(c).alias(f"__{c}") for c in before])
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            phrases = held.value
-            for part in byte_slices(batches, 0, 6 * SHARD_WORDS):
-                n_words, spans, chars, items = _hits(part.column(0), phrases)
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(chars, kind), pa.array(items, pa.list_(pa.string()))],
-                    [*part.schema.names[1:], *made],
-                )
-
-        out = in_arrow(rows, run, T.StructType([*rows.schema.fields[1:], *fields]))
-        if before:
-            out = out.select(*kept, "n_words", merged(F.concat("__spans", "spans")).alias("spans"), merged(F.concat("__char_spans", "char_spans")).alias("char_spans"), F.array_sort(F.array_union("__items", "items")).alias("items"))
-    return out.select(*wanted, *made)
+        packed.append(spark.sparkContext.broadcast(Blocks.pack(Phrases([(r.item, r.text) for r in block.collect()], window))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Blocks(packed)
+        for part in byte_slices(batches, 0, 6 * SHARD_WORDS):
+            n_words, spans, chars, items = _hits(part.column(0), held, window)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[1:], pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(chars, kind), pa.array(items, pa.list_(pa.string()))],
+                [*part.schema.names[1:], *made],
+            )
+
+    rows = df.select(F.col(text_col).alias("__text"), *wanted)
+    return in_arrow(rows, run, T.StructType([*rows.schema.fields[1:], *fields]))
 
 
 def n_hit() -> Column:

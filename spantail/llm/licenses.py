@@ -11,8 +11,9 @@ deepest is taken; files are then joined with their directory, in salted parts. T
 higher score, then the name of the licence, decides.
 
 DataFrame functions only. Null and empty texts have no statements; null paths are in no directory and
-inherit nothing. Ties between templates go to the name. Repeated rows each get their row; an empty
-table gives no rows.
+inherit nothing. Ties between templates go to the name. Very long texts, and statements, take time in
+proportion to their words, but for sorting them. Repeated rows each get their row; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spantail.llm.common import others
+from spantail.llm.native import once
 
 #: Statements by which licences are commonly declared.
 TEMPLATES = {
@@ -72,17 +74,42 @@ def _map(values: dict[str, float]) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*map(F.lit, values.values())))
 
 
+def _runs(words: Column) -> Column:
+    """array<struct<w, c>> of distinct words and their counts. For words of a bounded vocabulary: the list that grows has at most as many."""
+    none = F.array().cast("array<struct<w:string,c:int>>")
+    put = lambda s: F.when(s["c"] > 0, F.concat(s["out"], F.array(F.struct(s["w"].alias("w"), s["c"].alias("c"))))).otherwise(s["out"])
+    step = lambda s, w: F.when(s["w"].eqNullSafe(w), F.struct(w.alias("w"), (s["c"] + 1).alias("c"), s["out"].alias("out"))).otherwise(F.struct(w.alias("w"), F.lit(1).alias("c"), put(s).alias("out")))
+    return F.aggregate(F.sort_array(words), F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("c"), none.alias("out")), step, put)
+
+
+def _squares(words: Column) -> Column:
+    """The sum of the squares of the words' counts."""
+    step = lambda s, w: F.when(s["w"].eqNullSafe(w), F.struct(w.alias("w"), (s["c"] + 1).alias("c"), (s["sum"] + 2 * s["c"] + 1).alias("sum"))).otherwise(F.struct(w.alias("w"), F.lit(1).cast("double").alias("c"), (s["sum"] + 1).alias("sum")))
+    return F.aggregate(F.sort_array(words), F.struct(F.lit(None).cast("string").alias("w"), F.lit(0.0).alias("c"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
+
+
 def best_template(text: Column, templates: Templates) -> Column:
-    """struct<score, license> of the template nearest to a text; score is rounded to 6 places."""
-    words = F.filter(F.split(F.lower(text), _WORD), lambda w: w != "")
+    """struct<score, license> of the template nearest to a text; score is rounded to 6 places.
+
+    The words are sorted once: those of the templates are counted one by one, of all others only the
+    squares of their counts matter, as they weigh the same.
+    """
     idf, vectors = _map(templates.idf), F.array(*map(_map, templates.vectors))
-    names = F.array(*[F.lit(n) for n, _ in templates.rows])
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("w"), (F.size(F.filter(words, lambda x: x == w)) * F.coalesce(F.try_element_at(idf, w), F.lit(templates.unknown))).alias("v")))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x["v"] * x["v"]))
-    dots = lambda c: F.transform(vectors, lambda m: F.aggregate(c, F.lit(0.0), lambda t, x: t + x["v"] * F.coalesce(F.try_element_at(m, x["w"]), F.lit(0.0))))
-    scored = F.transform(F.array(counted), lambda c: F.array_max(F.zip_with(dots(c), F.sequence(F.lit(1), F.lit(len(templates.rows))), lambda d, i: F.struct(F.round(d / norm(c), 6).alias("score"), (-i).alias("i")))))
-    best = F.element_at(scored, 1)
-    return F.when(F.size(words) > 0, F.struct(best["score"].alias("score"), F.element_at(names, -best["i"]).alias("license")))
+    names, known = F.array(*[F.lit(n) for n, _ in templates.rows]), F.array(*map(F.lit, templates.idf))
+
+    def scored(words: Column) -> Column:
+        counted = F.transform(_runs(F.filter(words, lambda w: F.array_contains(known, w))), lambda x: F.struct(x["w"].alias("w"), (x["c"] * F.element_at(idf, x["w"])).alias("v")))
+        rest = _squares(F.filter(words, lambda w: ~F.array_contains(known, w))) * templates.unknown**2
+
+        def best(c: Column) -> Column:
+            norm = F.sqrt(F.aggregate(c["known"], c["rest"], lambda t, x: t + x["v"] * x["v"]))
+            dots = F.transform(vectors, lambda m: F.aggregate(c["known"], F.lit(0.0), lambda t, x: t + x["v"] * F.coalesce(F.try_element_at(m, x["w"]), F.lit(0.0))))
+            top = F.array_max(F.zip_with(dots, F.sequence(F.lit(1), F.lit(len(templates.rows))), lambda d, i: F.struct(F.round(d / norm, 6).alias("score"), (-i).alias("i"))))
+            return F.struct(top["score"].alias("score"), F.element_at(names, -top["i"]).alias("license"))
+
+        return F.when(F.size(words) > 0, once(F.struct(counted.alias("known"), rest.alias("rest")), best))
+
+    return once(F.filter(F.split(F.lower(text), _WORD), lambda w: w != ""), scored)
 
 
 def own_licenses(df: DataFrame, text_col: str, path: Column, least: float, templates: Templates) -> DataFrame:
@@ -112,10 +139,15 @@ def license_scan(df: DataFrame, text_col: str = "text", path: Column | str = "pa
     made = ("license", "score", "via", "n_statements")
     kept = others(df.columns if keep is None else keep, *made)
     path = F.col(path) if isinstance(path, str) else path
-    found = own_licenses(df, text_col, path, least, Templates(templates or TEMPLATES)).select(*kept, "__path", "__named", "__own", "n_statements")
+    made_from = Templates(templates or TEMPLATES)
     clean = F.concat_ws("/", F.filter(F.split(_directory(F.col("__path")), "/"), lambda p: p != ""))
-    found = found.withColumn("__dir", F.when(F.col("__path").isNotNull(), clean))
-    standing = found.where(F.col("__named") & F.col("__own").isNotNull() & F.col("__dir").isNotNull())
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        found = own_licenses(rows, text_col, path, least, made_from).select(*kept, "__path", "__own", "n_statements")
+        return found.withColumn("__dir", F.when(F.col("__path").isNotNull(), clean))
+
+    found = scanned(df)
+    standing = scanned(df.where(path.rlike(LICENCE_FILE))).where(F.col("__own").isNotNull())
     standing = standing.groupBy(F.col("__dir").alias("ancestor")).agg(F.min(F.struct((-F.col("__own.score")).alias("s"), F.col("__own.license").alias("license"))).alias("own"))
     below = found.where(F.col("__dir").isNotNull()).select("__dir").distinct().select("__dir", F.inline(_ancestors(F.col("__dir"))))
     near = below.join(standing, "ancestor").groupBy("__dir").agg(F.max_by("own", "depth").alias("__near"))

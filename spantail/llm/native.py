@@ -20,10 +20,10 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     gaps, found, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), F.arrays_zip(found.alias("whole"), values.alias("value")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["whole"]).alias("size"), m["value"].alias("value")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(text.rlike(pattern), _once(sizes, _placed)).otherwise(none)
+    return F.when(text.rlike(pattern), once(sizes, _placed)).otherwise(none)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -50,7 +50,7 @@ def _placed(sizes: Column) -> Column:
         return F.flatten(F.zip_with(blocks, begin, moved))
 
     last = F.floor((F.size(sizes) - 1) / BLOCK).cast("int")
-    return _once(F.transform(F.sequence(F.lit(0), last), lambda b: within(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))), joined)
+    return once(F.transform(F.sequence(F.lit(0), last), lambda b: within(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))), joined)
 
 
 def replaced(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spantail.llm import credentials, decontaminate, licenses, packing, pii, simhash, tokens, topk, toxicity, wavelet
@@ -37,9 +37,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text().alias("fingerprint"), "component_id")
 
 
+def path_of_id() -> Column:
+    """The table has no paths, so ids stand for them. Sources take turns of 20 ids: ten turns fill a folder, ten folders a project of a source.
+
+    What comes in the first turn of a folder is its LICENSE, in the first turn of a project the project's.
+    """
+    turn = F.floor(F.col("doc_id") / 20)
+    project, folder = F.concat(F.lit("p"), F.floor(turn / 100).cast("string")), F.concat(F.lit("f"), (F.floor(turn / 10) % 10).cast("string"))
+    name = F.when(turn % 10 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return F.when(turn % 100 == 0, F.concat_ws("/", "source", project, name)).otherwise(F.concat_ws("/", "source", project, folder, name))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return licenses.license_scan(table(spark, sf_dir, "documents"), path=path, keep=["doc_id"])
+    return licenses.license_scan(table(spark, sf_dir, "documents"), path=path_of_id(), keep=["doc_id"])
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

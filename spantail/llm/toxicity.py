@@ -1,10 +1,12 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick after folding.
 
-Folding: lower case, look-alikes of Latin letters and digits in their place become those letters,
+Folding: compatibility decomposition (accents go; mathematical, circled and full-width letters become
+plain), lower case, look-alikes of Latin letters and digits in their place become those letters,
 invisible characters go, other ASCII characters that aren't letters become spaces. So an entry of the
-lexicon, a space and the start of a word, matches `Idiot`, `1d10t` and the Cyrillic look-alike alike.
-The longest entry from a place counts, and exception phrases are entries of weight zero: `trash can`
-hides `trash`.
+lexicon, a space and the start of a word, matches `Idiot`, `1d10t`, `ïdïöt` and the Cyrillic look-alike
+alike. The longest entry from a place counts, and exception phrases are entries of weight zero:
+`trash can` hides `trash`. A few are given; more are learned, pairs of neighbouring words one of which
+is an entry, found in at least `support` texts of the sample and nearly always in texts that aren't toxic.
 
 The lexicon is learned: word starts of 3 to 8 letters in a bounded sample of labelled texts
 (`sample` rows, of the least hashed ids), counted by label in the cluster; an entry has at least
@@ -14,14 +16,17 @@ the sum of weights and in that sum over the length in words, fitted on numbers o
 
 Null and empty texts have no matches; they get the score of a text without any. Repeated labels of a
 doc_id count once, toxic if any is; labels that are null or neither 0 nor 1 and null ids teach nothing.
-Without toxic labels, or without any, every score is 0. Repeated documents each get their row.
+Of several texts of one labelled id the least teaches. Without toxic labels, or without any, every score
+is 0. Very long texts are folded and matched whole. Repeated documents each get their row; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -44,9 +49,7 @@ _ALIKE = dict(zip("аеорсухіјѕһԁкмтвнԛԝαειοκνρτυχω
 def _table() -> dict[int, str | None]:
     table: dict[int, str | None] = {i: " " for i in range(128) if not chr(i).isalpha()}
     table |= {ord(a): b for a, b in (_SIGNS | _ALIKE).items()}
-    table |= {0xFF21 + i: chr(0x61 + i) for i in range(26)} | {0xFF41 + i: chr(0x61 + i) for i in range(26)}
-    table |= {0xFF10 + i: _SIGNS.get(str(i), " ") for i in range(10)}
-    table |= dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
+    table |= dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0x300, 0x370)))
     return table
 
 
@@ -55,7 +58,8 @@ _FOLD = _table()
 
 def fold(text: str | None) -> str:
     """The text as it is matched, with a space in front."""
-    return " " + (text or "").lower().translate(_FOLD)
+    text = text or ""
+    return " " + (text if text.isascii() else unicodedata.normalize("NFKD", text)).lower().translate(_FOLD)
 
 
 def _starts(texts: pa.Array) -> Iterator[set[str]]:
@@ -75,6 +79,12 @@ class Lexicon:
             self.automaton.add_word(" " + start, weight)
         self.automaton.make_automaton()
 
+    def pairs(self, text: str | None) -> set[str]:
+        """Pairs of neighbouring words one of which has an entry's start."""
+        words = fold(text).split()
+        hit = [next(self.automaton.iter_long(" " + w), None) is not None for w in words]
+        return {f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if hit[i] or hit[i + 1]}
+
     def match(self, text: str | None) -> tuple[float, int]:
         """The sum of weights, and the number of words."""
         folded = fold(text)
@@ -117,46 +127,59 @@ def _weights(counts: dict[str, tuple[int, int]], bad: int, good: int) -> dict[st
     return {s: w for s, w in out.items() if w > 0}
 
 
-def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 10_000, support: int = 4, precision: float = 0.8, entries: int = 5000) -> tuple[dict[str, float], np.ndarray] | None:
-    """The lexicon and the coefficients, or None if the labels teach nothing."""
+def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 10_000, support: int = 4, precision: float = 0.8, entries: int = 5000) -> tuple[dict[str, float], np.ndarray, tuple[str, ...]] | None:
+    """The lexicon, the coefficients and the exception phrases, or None if the labels teach nothing."""
     spark = documents.sparkSession
     told = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
     told = told.where("doc_id is not null and toxic in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     told = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts, path = written(texts.join(F.broadcast(told), "doc_id").select("text", "toxic"), "sample")
+    texts = texts.join(F.broadcast(told), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    texts, path = written(texts.select("text", "toxic"), "sample")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, 0):
-            seen = (Counter(), Counter())
-            for starts, toxic in zip(_starts(part.column(0)), part.column(1).to_pylist(), strict=True):
-                seen[toxic].update(starts)
-            both = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array([seen[1][s] for s in both], pa.int64()), pa.array([seen[0][s] for s in both], pa.int64())], ["start", "bad", "good"])
+    def counted(of: Callable[[], Callable[[pa.Array], Iterator[set[str]]]]) -> DataFrame:
+        """start, bad and good: texts of the sample of either label that have it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            each = of()
+            for part in byte_slices(batches, 0):
+                seen = (Counter(), Counter())
+                for starts, toxic in zip(each(part.column(0)), part.column(1).to_pylist(), strict=True):
+                    seen[toxic].update(starts)
+                both = list(seen[0].keys() | seen[1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([seen[1][s] for s in both], pa.int64()), pa.array([seen[0][s] for s in both], pa.int64())], ["start", "bad", "good"])
+
+        return in_arrow(texts, run, "start string, bad long, good long").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
     totals = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     least = max(support, bad // 100)
-    counted = in_arrow(texts, count, "start string, bad long, good long").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    best = counted.where((F.col("bad") >= least) & (F.col("bad") >= precision * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "good", "start").limit(entries).collect() if bad else []
+    best = counted(lambda: _starts).where((F.col("bad") >= least) & (F.col("bad") >= precision * (F.col("bad") + F.col("good")))).orderBy(F.desc("bad"), "good", "start").limit(entries).collect() if bad else []
     weights = _weights({r.start: (r.bad, r.good) for r in best}, bad, good)
     if not weights:
         drop(spark, path)
         return None
     held = spark.sparkContext.broadcast(weights)
 
+    def pairs() -> Callable[[pa.Array], Iterator[set[str]]]:
+        lexicon = Lexicon(held.value, ())
+        return lambda part: map(lexicon.pairs, part.to_pylist())
+
+    harmless = counted(pairs).where((F.col("good") >= support) & (F.col("good") >= 0.95 * (F.col("bad") + F.col("good")))).orderBy(F.desc("good"), "start").limit(entries).collect()
+    exceptions = tuple(r.start for r in harmless)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(held.value)
+        lexicon = Lexicon(held.value, (*EXCEPTIONS, *exceptions))
         for part in byte_slices(batches, 0):
             total, words = _sums([lexicon.match(t) for t in part.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(total), pa.array(words), part.column(1)], ["total", "words", "toxic"])
 
     rows = np.array(in_arrow(texts, measure, "total double, words long, toxic int").collect(), float)
     drop(spark, path)
-    return weights, fit(features(rows[:, 0], rows[:, 1]), rows[:, 2])
+    return weights, fit(features(rows[:, 0], rows[:, 1]), rows[:, 2]), exceptions
 
 
-def toxicity(df: DataFrame, model: tuple[dict[str, float], np.ndarray] | None, keep: list[str] | None = None, text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
+def toxicity(df: DataFrame, model: tuple[dict[str, float], np.ndarray, tuple[str, ...]] | None, keep: list[str] | None = None, text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
     """The columns `keep` of df (all, if None) and score, from 0 to 1; a column of that name is replaced."""
     kept = others(df.columns if keep is None else keep, "score")
     if model is None:
@@ -164,8 +187,8 @@ def toxicity(df: DataFrame, model: tuple[dict[str, float], np.ndarray] | None, k
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, coefficients = held.value
-        lexicon = Lexicon(weights, exceptions)
+        weights, coefficients, learned = held.value
+        lexicon = Lexicon(weights, (*exceptions, *learned))
         for part in byte_slices(batches, 0):
             total, words = _sums([lexicon.match(t) for t in part.column(0).to_pylist()])
             score = 1 / (1 + np.exp(-np.clip(features(total, words) @ coefficients, -30, 30)))

@@ -2,48 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spantail.shared import hadoop, new_path
 from spantail.ship import ship
 
-_LOCAL: dict[str, str] = {}
-
 #: Text bytes that one step in a Python worker holds at a time.
 SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if told:
-        return f"{told.rstrip('/')}/{app}"
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="spantail-")
-    return f"file://{_LOCAL[app]}"
-
-
-def _hadoop(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that goes when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, at = _hadoop(spark, path)
-    fs.deleteOnExit(at)
-    return path
+#: Rows of a few numbers that may be broadcast: some 50 MB.
+BROADCAST_ROWS = 1 << 20
+#: Rows that one task may well hold, if they all have one key. Beyond them a key is hot if it has more than this part of all rows.
+FEW_ROWS, HOT = 1 << 20, 1024
 
 
 def drop(spark: SparkSession, path: str) -> None:
-    fs, at = _hadoop(spark, path)
+    fs, at = hadoop(spark, path)
     fs.delete(at, True)
 
 
@@ -54,6 +33,25 @@ def written(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def counted(side: DataFrame) -> DataFrame:
+    """A written table of narrow rows as the smaller side of a join: broadcast if it is counted to be small, else shuffled."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+
+
+def joined_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows.join(side, key, how), where side is a written table of distinct keys with `n`, how many rows have each; n goes.
+
+    A key of more than 1/HOT of the rows meets its row by broadcast: there are fewer than HOT of them,
+    whatever the input. The others are joined by shuffles. Few rows need none of this.
+    """
+    total = side.agg(F.sum("n")).first()[0] or 0
+    if total <= FEW_ROWS:
+        return rows.join(side.drop("n"), key, how)
+    is_hot = F.col("n") * HOT > total
+    hot, cold = F.broadcast(side.where(is_hot).drop("n")), side.where(~is_hot).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key, how))
+
+
 def others(columns: list[str], *made: str) -> list[str]:
     """Columns that don't have one of these names; Spark doesn't tell capitals apart."""
     return [c for c in columns if c.lower() not in made]
@@ -63,10 +61,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with this package on the executors."""
+def in_arrow(df: DataFrame, run, schema, encodes: bool = False) -> DataFrame:
+    """df.mapInArrow with this package on the executors. Only functions that encode texts keep the pieces that their worker remembers."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def forgetful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "spantail.llm.tokens" in sys.modules:
+            sys.modules["spantail.llm.tokens"].Encoder.forget()
+        return run(batches)
+
+    return df.mapInArrow(run if encodes else forgetful, schema)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

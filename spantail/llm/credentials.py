@@ -13,8 +13,9 @@ widely copied ones aren't.
 
 DataFrame functions only. The first pass writes a row for each document, without its text unless it
 is asked for; only documents with candidates are exploded, joined and grouped again, by a row number
-that the written table holds. Null and empty texts have no spans. A null repository is one of its
-own. Repeated rows each get their row; an empty table gives no rows.
+that the written table holds. Values that very many spans have meet their count by broadcast. Null and
+empty texts have no spans. A null repository is one of its own. Very long texts are searched whole, in
+linear time. Repeated rows each get their row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spantail.llm.common import others, written
+from spantail.llm.common import joined_hot, others, written
 from spantail.llm.native import cut, matches, merged
 
 #: Kinds in the order in which spans of one start are listed: pattern, group that is the value, its least length.
@@ -60,10 +61,10 @@ def candidates(df: DataFrame, text_col: str = "text", repo_col: str = "source",
 
 
 def owned(found: DataFrame) -> DataFrame:
-    """hash, repositories and owners of each candidate value in a table of candidates."""
+    """hash, repositories, owners and n (spans) of each candidate value in a table of candidates."""
     spans = found.select("__repo", "__owner", F.explode(F.concat("__base", "__more")).alias("s"))
-    once = spans.groupBy(F.col("s.hash").alias("hash"), "__repo", "__owner").agg(F.lit(1).alias("one"))
-    return once.groupBy("hash").agg(F.count_distinct("__repo").alias("repositories"), F.count_distinct("__owner").alias("owners"))
+    once = spans.groupBy(F.col("s.hash").alias("hash"), "__repo", "__owner").agg(F.count("*").alias("n"))
+    return once.groupBy("hash").agg(F.count_distinct("__repo").alias("repositories"), F.count_distinct("__owner").alias("owners"), F.sum("n").alias("n"))
 
 
 def secrets(df: DataFrame, text_col: str = "text", repo_col: str = "source", owner: Column | None = None, keep: list[str] | None = None, repositories: int = 5, owners: int = 4) -> DataFrame:
@@ -73,10 +74,10 @@ def secrets(df: DataFrame, text_col: str = "text", repo_col: str = "source", own
     """
     kept = others(df.columns if keep is None else keep, "base", "spans")
     found = candidates(df.select(*{*kept, text_col, repo_col}), text_col, repo_col, owner, kept)
-    wide = owned(found).where((F.col("repositories") >= repositories) & (F.col("owners") >= owners)).select(F.col("hash"), F.lit(True).alias("wide"))
+    wide, _ = written(owned(found).where((F.col("repositories") >= repositories) & (F.col("owners") >= owners)).select("hash", "n", F.lit(True).alias("wide")), "wide")
     with_some = F.size("__base") + F.size("__more") > 0
     one = found.where(with_some).select("__row", F.explode(F.concat("__base", "__more")).alias("s")).select("__row", "s.*")
-    judged = one.join(wide, "hash", "left").select("__row", "start", "kind", "end", F.col("wide").isNull().alias("live"))
+    judged = joined_hot(one, wide, "hash", "left").select("__row", "start", "kind", "end", F.col("wide").isNull().alias("live"))
     stay = (F.col("kind") < len(BASE)) | F.col("live")
     again = judged.where(stay).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("__all"))
     found_some = found.where(with_some).join(again, "__row", "left")

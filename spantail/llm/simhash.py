@@ -8,14 +8,17 @@ Links: equal fingerprints are one class, found by a grouped minimum, so copies c
 fingerprints within `distance` bits agree in at least blocks - distance of `blocks` equal blocks:
 each combination of that many blocks is a join key; the Hamming distance is verified on each pair.
 A key that more than `crowded` fingerprints share isn't joined. There each fingerprint is written
-with every way to flip up to half the distance of its remaining bits: two of them are within the
-distance exactly if they meet in such a variant, and what meets is linked to the least of it. So no
-link is lost and none is false, whatever the size of a group, without its pairs.
+with every way to flip up to half the distance, rounded up, of its remaining bits, those of up to half
+the distance, rounded down, being inner ones: two of them are within the distance exactly if an inner
+variant of one is a variant of the other, and what meets in a variant is linked to its least inner
+one. So no link is lost and none is false, whatever the size of a group, without its pairs.
 
 Components: rounds of large-star and small-star over distinct linked fingerprints, each round a table
-in the shared folder; nothing but counts comes to the driver.
+in the shared folder; nothing but counts comes to the driver. Fingerprints of very many rows, and nodes
+of very many edges, meet their component by broadcast.
 
-Repeated rows each get their row. Null ids keep their row, and count for no component's smallest id.
+Null texts are empty. Repeated rows each get their row. Null ids keep their row, and count for no
+component's smallest id. Very long texts are hashed whole, a bounded number of shingles' bits at a time.
 An empty table gives no rows.
 """
 
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spantail.llm.common import byte_slices, drop, in_arrow, others, text_bytes, written
+from spantail.llm.common import FEW_ROWS, byte_slices, drop, in_arrow, joined_hot, others, text_bytes, written
 
 SEED = 42
 #: Text bytes that are hashed at a time: their hashes' bits take 64 bytes a word.
@@ -97,10 +100,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _flips(mask: int, distance: int) -> list[int]:
+    """Every way to flip up to `distance` of the bits outside a mask."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    return [sum(c) for k in range(distance + 1) for c in combinations(free, k)]
+
+
 def links(classes: DataFrame, distance: int = 2, blocks: int = 4, crowded: int = 64) -> DataFrame:
-    """Pairs (u, v), u < v, of distinct fingerprints in column fp that connect whatever is within the distance."""
-    if distance != 2:
-        raise ValueError("variants of crowded keys are written for a distance of 2")
+    """Pairs (u, v), u < v, of distinct fingerprints in column fp that connect whatever is within the distance (at most 3)."""
+    if not 0 < distance <= 3 or not distance < blocks <= 8:
+        raise ValueError("distances of 1 to 3, and more blocks than that, but at most 8")
     masks = _masks(blocks, distance)
     keyed = classes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("way", "key"))
     full = keyed.groupBy("way", "key").count().where(F.col("count") > crowded).select("way", "key")
@@ -109,49 +118,56 @@ def links(classes: DataFrame, distance: int = 2, blocks: int = 4, crowded: int =
     a, b = thin.select("way", "key", F.col("fp").alias("u")), thin.select("way", "key", F.col("fp").alias("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
     pairs = a.join(b, ["way", "key"]).where(near).select("u", "v")
-    free = F.element_at(F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks]), F.col("way") + 1)
-    flipped = keyed.join(full, ["way", "key"], "left_semi").withColumn("flip", F.explode(free))
-    met = flipped.groupBy("way", "key", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_set("fp").alias("met")).where(F.size("met") > 1)
-    stars = met.select(F.array_min("met").alias("u"), F.explode("met").alias("v")).where("u < v")
-    return pairs.unionAll(stars).distinct()
+    outer, inner = (distance + 1) // 2, distance // 2
+    flips = F.element_at(F.array(*[F.array(*[F.lit(_signed(x)) for x in _flips(m, outer)]) for m in masks]), F.col("way") + 1)
+    flipped = keyed.join(full, ["way", "key"], "left_semi").withColumn("flip", F.explode(flips))
+    met = flipped.groupBy("way", "key", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant")).agg(F.collect_set("fp").alias("met"), F.min(F.when(F.bit_count("flip") <= inner, F.col("fp"))).alias("hub"))
+    stars = met.where((F.size("met") > 1) & F.col("hub").isNotNull()).select("hub", F.explode("met").alias("other")).where("hub <> other")
+    return pairs.unionAll(stars.select(F.least("hub", "other").alias("u"), F.greatest("hub", "other").alias("v"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Each node of the edges (u, v) with `least`, the smallest node it can reach."""
     spark = edges.sparkSession
     now, path = written(edges.select("u", "v").where("u <> v"), "edges")
-    state = None
+    state, size = None, now.count()
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low, low_path = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), None
+        if 2 * size > FEW_ROWS:
+            low, low_path = written(low, "low")
+            large = joined_hot(both.where("v > u"), low, "u")
+        else:
+            large = both.where("v > u").join(low.drop("n"), "u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.distinct()
         floor = down.groupBy("u").agg(F.min("v").alias("m"))
         kept = down.join(floor, "u")
         small = kept.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(floor.select("u", F.col("m").alias("v"))).distinct()
         nxt, nxt_path = written(small, "edges")
         seen = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop(spark, path)
-        now, path = nxt, nxt_path
+        for p in filter(None, (path, low_path)):
+            drop(spark, p)
+        now, path, size = nxt, nxt_path, seen[0]
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("least"))
         state = seen
 
 
 def class_components(marked: DataFrame, id_col: str, distance: int = 2, blocks: int = 4, crowded: int = 64) -> DataFrame:
-    """fp and component_id for each distinct fingerprint of a table: the smallest id reachable over links."""
-    classes, _ = written(marked.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("first_id")), "classes")
+    """fp, n (rows) and component_id for each distinct fingerprint of a table: the smallest id reachable over links."""
+    classes, _ = written(marked.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("first_id"), F.count("*").alias("n")), "classes")
     reached = components(links(classes.select("fp"), distance, blocks, crowded)).withColumnRenamed("node", "fp")
     named = classes.join(reached, "fp", "left").withColumn("least", F.coalesce("least", "fp"))
     first = named.groupBy("least").agg(F.min("first_id").alias("component_id"))
-    return written(named.join(first, "least").select("fp", "least", "component_id"), "components")[0]
+    return written(named.join(first, "least").select("fp", "least", "component_id", "n"), "components")[0]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, blocks: int = 4, crowded: int = 64) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable over links, for each row."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked, _ = written(fingerprints(rows, "text", width, ["doc_id"]), "fingerprints")
-    return marked.join(class_components(marked, "doc_id", distance, blocks, crowded), "fp").select("doc_id", "fp", "component_id")
+    return joined_hot(marked, class_components(marked, "doc_id", distance, blocks, crowded), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2, blocks: int = 4, crowded: int = 64) -> DataFrame:

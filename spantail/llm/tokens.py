@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from spantail.llm.common import byte_slices, in_arrow, text_bytes
 
 #: Pieces that a worker remembers, and the bytes of the longest of them; beyond, only those stay that came in several batches.
-REMEMBERED, LONGEST = 1_200_000, 64
+REMEMBERED, LONGEST = 1_000_000, 64
 #: Pieces that the library encodes in one call.
 CALL = 8192
 #: One word of letters that every Unicode version takes for letters, composed, and lower-cased one by one.
@@ -106,6 +106,11 @@ class Encoder:
             cls._held[key] = cls(described)
         return cls._held[key]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Frees the worker's memory for other work."""
+        cls._held.clear()
+
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
         self.length = np.zeros(1 << 12, np.int32)
@@ -222,4 +227,4 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(encoder.counts(part.column(1)))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return in_arrow(rows, count, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > max_tokens)
+    return in_arrow(rows, count, "doc_id long, n_bytes long, n_tokens long", encodes=True).withColumn("over_limit", F.col("n_tokens") > max_tokens)

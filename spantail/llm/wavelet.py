@@ -241,7 +241,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, end_id: int = 0, id_co
         if held:
             yield image()
 
-    images = in_arrow(rows, run, "part int, start long, n_ids long, image binary")
+    images = in_arrow(rows, run, "part int, start long, n_ids long, image binary", encodes=True)
     return written(images, "wavelet", compression="uncompressed")[0]
 
 

@@ -11,12 +11,13 @@ cut into sequences of powers of two, which need no padding.
 Nothing is shuffled: a task packs what it reads, in pools of bounded size, and its sequence ids are
 its partition's. A task that is run again gives the same sequences.
 
-Null texts are empty: their example is the end id. Repeated rows are examples of their own. An empty
-table gives no rows.
+Null texts are empty: their example is the end id. Null ids keep their row. Repeated rows are examples
+of their own. Very long texts are cut like any other. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,35 +34,41 @@ POOL = 1 << 19
 
 
 class Packer:
-    """Fills sequences; pieces come out as (example, start, length, sequence, offset)."""
+    """Fills sequences; pieces come out as (example, start, length, sequence, offset).
+
+    Items of the same ids, with as many without loss at their front, are of one kind: scores are those
+    of kinds, so a choice costs as much as there are kinds, however many items wait.
+    """
 
     def __init__(self, max_tokens: int, max_segments: int, max_loss: int):
         if min(max_tokens, max_segments, max_loss) < 1:
             raise ValueError("limits must be positive")
         self.limit = np.array([max_tokens, max_segments, max_loss], float)
         self.tokens, self.segments, self.loss = max_tokens, max_segments, max_loss
-        self.sequence = 0
-        #: Items: example, start, ids, ids without loss at their front.
-        self.items = np.zeros((0, 4), np.int64)
+        self.sequence = self.waiting = 0
+        #: By ids and ids without loss: example and start of each item, in order of arrival.
+        self.kinds: dict[tuple[int, int], deque[tuple[int, int]]] = {}
         self.pieces: list[tuple[int, int, int, int, int]] = []
 
     def add(self, example: np.ndarray, size: np.ndarray, free: np.ndarray) -> None:
         """Examples of some ids, the first `free` of which bear no loss."""
-        rest = []
         for e, n, f in zip(example.tolist(), size.tolist(), free.tolist(), strict=True):
             start = 0
             while n - start > self.tokens or n - start - max(0, f - start) > self.loss:
                 take = min(self.tokens, max(0, f - start) + self.loss)
                 if take < self.tokens:  # the loss is full first: other items may fill up the sequence
-                    rest.append((e, start, take, min(take, max(0, f - start))))
+                    self._wait(e, start, take, min(take, max(0, f - start)))
                 else:
                     self._one(e, start, take)
                 start += take
             if n - start == self.tokens:
                 self._one(e, start, n - start)
             else:
-                rest.append((e, start, n - start, max(0, min(n, f) - start)))
-        self.items = np.concatenate([self.items, np.array(rest, np.int64).reshape(-1, 4)])
+                self._wait(e, start, n - start, max(0, min(n, f) - start))
+
+    def _wait(self, example: int, start: int, size: int, free: int) -> None:
+        self.kinds.setdefault((size, free), deque()).append((example, start))
+        self.waiting += size
 
     def _one(self, example: int, start: int, length: int) -> None:
         self.pieces.append((example, start, length, self.sequence, 0))
@@ -69,44 +76,54 @@ class Packer:
 
     def fill(self, all_of_them: bool) -> None:
         """Sequences from the items; unless all_of_them, until less than a sequence is left."""
-        items, waiting = self.items, int(self.items[:, 2].sum())
-        while len(items) and (waiting >= self.tokens or all_of_them):
-            room = self.tokens
-            if waiting < self.tokens:
-                room = 1 << (waiting.bit_length() - 1)
-            used, items = self._sequence(items, room)
-            waiting -= used
-        self.items = items
-
-    def _sequence(self, items: np.ndarray, room: int) -> tuple[int, np.ndarray]:
-        size, loss = items[:, 2], items[:, 2] - items[:, 3]
-        mean = np.array([size.mean(), 1, loss.mean()]) / self.limit
+        while self.kinds and (self.waiting >= self.tokens or all_of_them):
+            self._sequence(self.tokens if self.waiting >= self.tokens else 1 << (self.waiting.bit_length() - 1))
+
+    def _sequence(self, room: int) -> None:
+        kinds = sorted(self.kinds)
+        size = np.array([k[0] for k in kinds], np.int64)
+        free = np.array([k[1] for k in kinds], np.int64)
+        count = np.array([len(self.kinds[k]) for k in kinds], np.int64)
+        loss = size - free
+        mean = np.array([(size * count).sum() / count.sum(), 1, (loss * count).sum() / count.sum()]) / self.limit
         weight = mean / self.limit**2
-        left = np.array([room, self.segments, self.loss], float)
-        open_, offset = np.ones(len(items), bool), 0
+        left, offset = [room, self.segments, self.loss], 0
+
+        def taken(kind: int, length: int, times: int) -> None:
+            nonlocal offset
+            waiting = self.kinds[kinds[kind]]
+            for _ in range(times):
+                e, start = waiting.popleft()
+                self.pieces.append((e, start, length, self.sequence, offset))
+                offset += length
+            if length < size[kind]:
+                self._wait(e, start + length, int(size[kind]) - length, max(0, int(free[kind]) - length))
+                self.waiting -= int(size[kind]) - length
+            count[kind] -= times
+            self.waiting -= length * times
+            left[0] -= length * times
+            left[1] -= times
+            left[2] -= max(0, length - int(free[kind])) * times
+
         while left[0] > 0 and left[1] > 0:
-            fits = open_ & (size <= left[0]) & (loss <= left[2])
+            fits = (count > 0) & (size <= left[0]) & (loss <= left[2])
             if fits.any():
                 score = size * (weight[0] * left[0]) + weight[1] * left[1] + loss * (weight[2] * left[2])
                 pick = int(np.argmax(np.where(fits, score, -1.0)))
-                take = int(size[pick])
-                open_[pick] = False
+                times = 1
+                if size[pick] == size[fits].max() and loss[pick] == loss[fits].max():  # then it stays the best while it fits
+                    times = min(int(count[pick]), left[0] // int(size[pick]), left[1], left[2] // int(loss[pick]) if loss[pick] else left[1])
+                taken(pick, int(size[pick]), times)
             else:
-                take_of = np.minimum(left[0], items[:, 3] + left[2])
-                could = np.where(open_, np.minimum(size, take_of), 0)
+                could = np.where(count > 0, np.minimum(size, np.minimum(left[0], free + left[2])), 0)
                 pick = int(np.argmax(np.where(could > 0, size, 0)))
-                take = int(could[pick])
-                if take <= 0:
+                if could[pick] <= 0:
                     break
-            e, start, _, free = items[pick].tolist()
-            self.pieces.append((e, start, take, self.sequence, offset))
-            offset += take
-            left -= [take, 1, max(0, take - free)]
-            if open_[pick]:
-                items[pick] = (e, start + take, items[pick, 2] - take, max(0, free - take))
-                loss[pick] = items[pick, 2] - items[pick, 3]
+                taken(pick, int(could[pick]), 1)
+        for k in kinds:
+            if not self.kinds[k]:
+                del self.kinds[k]
         self.sequence += 1
-        return offset, items[open_]
 
 
 def pack(
@@ -159,11 +176,11 @@ def pack(
             held.update({number + k: [d, w, f, 0] for k, (d, w, f) in enumerate(zip(part.column(0).to_pylist(), whole, free.tolist(), strict=True))})
             packer.add(np.arange(number, number + len(whole)), np.array([len(w) for w in whole]), free)
             number += len(whole)
-            if packer.items[:, 2].sum() >= POOL:
+            if packer.waiting >= POOL:
                 packer.fill(False)
             yield from out()
         packer.fill(True)
         yield from out()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(prompt_col).alias("prompt")] if prompt_col else []))
-    return in_arrow(rows, run, "doc_id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long")
+    return in_arrow(rows, run, "doc_id long, start long, length long, ids binary, loss_tokens long, doc_tokens long, sequence_id long, offset long", encodes=True)

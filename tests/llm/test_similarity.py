@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from spantail.llm import simhash, topk
+from spantail.llm import common, simhash, topk
 
 from .conftest import prose
 
@@ -44,8 +44,8 @@ def test_fingerprints_and_components(spark, documents):
     assert simhash.near_duplicates(documents.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [0, 2, 1000])
-def test_links_of_crowds(spark, crowded):
+@pytest.mark.parametrize("distance, blocks, crowded", [(2, 4, 0), (2, 4, 2), (2, 4, 1000), (1, 3, 0), (3, 5, 0), (3, 5, 3), (3, 6, 1000)])
+def test_links_of_crowds(spark, distance, blocks, crowded):
     """Groups around a few centres and chains of single steps; crowded keys must lose and add no link."""
     r = random.Random(4)
     marks = set()
@@ -58,10 +58,25 @@ def test_links_of_crowds(spark, crowded):
             marks.add(step)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     nodes = sorted(map(signed, marks))
-    expected = linked(nodes, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    expected = linked(nodes, lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= distance)
     df = spark.createDataFrame([(n,) for n in nodes], "fp long")
-    got = {r.node: r.least for r in simhash.components(simhash.links(df, crowded=crowded)).collect()}
+    got = {r.node: r.least for r in simhash.components(simhash.links(df, distance, blocks, crowded)).collect()}
     assert {n: got.get(n, n) for n in nodes} == expected
+    with pytest.raises(ValueError):
+        simhash.links(df, 4, 6)
+
+
+def test_hot_nodes_and_hot_fingerprints(spark, documents, monkeypatch):
+    """The ways for very many rows of one key give the same, whatever counts as many."""
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    monkeypatch.setattr(simhash, "FEW_ROWS", 0)
+    monkeypatch.setattr(common, "HOT", 20)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(9)] + [(59, 200)]
+    got = {r.node: r.least for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: 0 if n < 100 or n == 200 else 100 for e in edges for n in e}
+    rows = documents.unionAll(documents.where("doc_id = 1").crossJoin(spark.range(50).toDF("times")).drop("times"))
+    found = simhash.near_duplicates(rows).collect()
+    assert len(found) == rows.count() and {r.component_id for r in found if r.doc_id == 1} == {1}
 
 
 def test_one_of_each(spark, documents):
@@ -107,13 +122,42 @@ def test_top_k_in_blocks_and_small(spark, monkeypatch):
     assert topk.exact_topk(df.where("vec_id = 20")).count() == 0
 
 
-def test_early_stop_is_exact(monkeypatch):
-    """Skewed lists, where most queries stop before the full depth."""
+@pytest.mark.parametrize("values", ["pareto", "normal"])
+def test_early_stop_is_exact(values):
+    """Most queries stop before the full depth, whether lists are skewed or not, over one shard and over several."""
     r = np.random.default_rng(5)
-    shard = np.floor(r.pareto(1.0, (4000, 6)) * 50).astype(np.int64)
-    queries, ids = np.abs(r.integers(0, 9, (20, 6))), np.arange(4000)
-    got = {q: (list(c), list(s)) for q, c, s in topk.search(queries, np.arange(10_000, 10_020), shard, ids, 5)}
-    for q in range(20):
-        scores = shard @ queries[q]
-        best = np.lexsort((ids, -scores))[:5]
-        assert got[10_000 + q] == (best.tolist(), scores[best].tolist())
+    vectors = {"pareto": lambda: r.pareto(1.0, (12_000, 6)) * 50, "normal": lambda: r.normal(0, 8, (12_000, 64))}[values]()
+    vectors = np.floor(vectors).astype(np.int64)
+    queries, ids = np.floor(r.normal(0, 8, (20, vectors.shape[1]))).astype(np.int64), np.arange(12_000)
+    search = topk.Search(np.arange(100_000, 100_020), queries, 5)
+    for i in range(0, 12_000, 4000):
+        search.read(vectors[i : i + 4000], ids[i : i + 4000])
+        for q in range(20):
+            scores = vectors[: i + 4000] @ queries[q]
+            best = np.lexsort((ids[: i + 4000], -scores))[:5]
+            assert (search.ids[q].tolist(), search.scores[q].tolist()) == (best.tolist(), scores[best].tolist())
+    assert sum(search.stopped.values()) == 60
+    assert sum(n for d, n in search.stopped.items() if d < 1) >= 50
+
+
+def test_one_task_returns_k_rows_a_query(spark, tmp_path, monkeypatch):
+    """However many shards it read."""
+    monkeypatch.setattr(topk, "SHARD", 50)
+    monkeypatch.setattr(topk, "new_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    df = spark.createDataFrame([(i, [float(i % 9), float(i % 7)]) for i in range(1000)], "vec_id long, embedding array<float>").coalesce(1)
+    assert topk.exact_topk(df, k=3).count() == 150
+    assert spark.read.parquet(f"file://{tmp_path}/topk").count() == 150
+
+
+def test_registered_fingerprints(spark, sf_dir):
+    """The query on its table, against all pairs."""
+    from spantail.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in common.table(spark, sf_dir, "documents").collect()}
+    marks = {d: fingerprint(t) for d, t in texts.items()}
+    reach = linked(set(marks.values()), lambda a, b: (a ^ b).bit_count() <= 2)
+    first = {}
+    for d, m in marks.items():
+        first[reach[m]] = min(first.get(reach[m], d), d)
+    got = {(r.doc_id, r.fingerprint, r.component_id) for r in QUERIES["op10_simhash"](spark, sf_dir).collect()}
+    assert got == {(d, f"{m:016x}", first[reach[m]]) for d, m in marks.items()}

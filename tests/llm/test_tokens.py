@@ -125,3 +125,48 @@ def test_packing_prompts_and_repeats(spark):
     assert packing.pack(df.limit(0), P.path(FILES[1])).count() == 0
     with pytest.raises(ValueError):
         packing.Packer(0, 1, 1)
+
+
+@pytest.mark.parametrize("count, size", [(500_000, 1), (50_000, 10), (200_000, 2)])
+def test_many_tiny_examples(count, size):
+    """The cost hangs on kinds of items, not on how many wait."""
+    import time
+
+    began = time.process_time()
+    packer = packing.Packer(4096, 512, 4096)
+    packer.add(np.arange(count), np.full(count, size), np.zeros(count, np.int64))
+    packer.fill(True)
+    assert time.process_time() - began < 10
+    assert sum(p[2] for p in packer.pieces) == count * size and packer.waiting == 0
+    assert max(np.bincount([p[3] for p in packer.pieces])) <= 512
+
+
+def test_all_three_limits_on_conversations(spark, sf_dir):
+    """Turns of users are prompts without loss; the answers are packed under limits each of which binds."""
+    from pyspark.sql import functions as F
+
+    from spantail.llm.common import table
+
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    said = lambda mine: F.concat_ws("\n", F.transform(F.filter("t", lambda x: (x["role"] == "assistant") == mine), lambda x: x["text"]))
+    rows = turns.select(F.monotonically_increasing_id().alias("doc_id"), said(True).alias("text"), said(False).alias("prompt")).coalesce(1)
+    limits = {"max_tokens": 512, "max_segments": 6, "max_loss": 256}
+    got = packing.pack(rows, P.path(FILES[1]), prompt_col="prompt", **limits).collect()
+    sums = {}
+    for r in got:
+        n = sums.setdefault(r.sequence_id, [0, 0, 0])
+        for i, x in enumerate((r.length, 1, r.loss_tokens)):
+            n[i] += x
+    for i, most in enumerate(limits.values()):
+        assert max(n[i] for n in sums.values()) == most
+    want = rows.collect()
+    sizes = zip(library(FILES[1], [r.text for r in want]), library(FILES[1], [r.prompt for r in want]))
+    assert sum(r.length for r in got) == sum(len(a) + len(b) + 1 for a, b in sizes)
+    fewest = max(sum(n[0] for n in sums.values()) / 512, sum(n[2] for n in sums.values()) / 256)
+    assert len(sums) <= 1.2 * fewest + 2
+
+
+def test_empty_documents_in_a_table(spark):
+    df = spark.range(5000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text")
+    got = packing.pack(df.coalesce(1), P.path(FILES[1])).select("doc_id", "length", "sequence_id").collect()
+    assert len(got) == 5000 and {r.length for r in got} == {1} and len({r.sequence_id for r in got}) <= 20

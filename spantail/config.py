@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
+from urllib.parse import parse_qsl
 
 #: Defaults of the sampler and of the store.
 DECISION_WAIT_S, MAX_TRACES, MAX_SPANS_PER_TRACE = 5.0, 50_000, 10_000
@@ -77,6 +78,21 @@ class StoreConfig:
     flush_interval_s: float = FLUSH_INTERVAL_S
     max_attr_columns: int = MAX_ATTR_COLUMNS
 
+    @classmethod
+    def of(cls, url: str, **given: Any) -> StoreConfig:
+        """Settings from a URL, location?database=...&table=...&batch_size=...; what is given beside it wins."""
+        location, _, query = url.partition("?")
+        kinds = {"database": str, "table": str, "batch_size": int, "flush_interval_s": float, "max_attr_columns": int}
+        told = dict(parse_qsl(query))
+        if unknown := told.keys() - kinds.keys():
+            raise ConfigError(f"unknown settings {sorted(unknown)}")
+        try:
+            config = cls(**{"location": location} | {k: kinds[k](v) for k, v in told.items()} | {k: v for k, v in given.items() if v})
+        except ValueError as e:
+            raise ConfigError(str(e)) from None
+        config.validate()
+        return config
+
     def validate(self) -> None:
         if not self.location:
             raise ConfigError("a location is needed")

@@ -240,7 +240,20 @@ class SpanStore:
     def describe(self) -> str:
         """The table as SQL that makes it, for users who keep it in a catalog."""
         columns = BASE_SCHEMA + "".join(f", {quote_ident(attr_column(k))} string" for k in self.keys())
-        return f"CREATE TABLE IF NOT EXISTS {qualified(self.config.database, self.config.table)} ({columns}) USING parquet LOCATION {quote_string(self.root + '/data')}"
+        return f"CREATE TABLE IF NOT EXISTS {qualified(self.config.database, self.config.table)} ({columns}) USING parquet OPTIONS (recursiveFileLookup 'true') LOCATION {quote_string(self.root + '/data')}"
+
+    def attach(self) -> str:
+        """Makes the store a table of the session's catalog, in a database that is made if it isn't there, and returns its name.
+
+        Only the catalog's entry is replaced, so it can be called again once there are new columns.
+        """
+        self.ensure_base_schema()
+        name = qualified(self.config.database, self.config.table)
+        if self.config.database:
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote_ident(self.config.database)}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.spark.sql(self.describe())
+        return name
 
     def drop(self) -> None:
         fs, at = self._fs(self.root)

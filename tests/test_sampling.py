@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from spantail.config import PolicyConfig
+from spantail.config import ConfigError, PolicyConfig
 from spantail.operators import exact, replay, sampling
+from spantail.operators import policies as policy_types
 from spantail.operators.exact import Sampler, Span
 from spantail.operators.policies import compiled
 
@@ -115,3 +116,24 @@ def test_fifo_without_matches(spark):
         first.setdefault(r[0], r[5])
     expected = sorted(sorted(first, key=first.get)[-5:])
     assert sorted(r[0] for r in sampling.last_traces(df, 5, ["n"]).collect()) == expected
+
+
+def test_the_cap_needs_one_exchange(spark):
+    df = spark.createDataFrame([("t", "1", "OK", 1, 0)], "trace_id string, span_id string, status_code string, duration_ns long, n int")
+    rules = compiled([PolicyConfig("status_code", keep="ERROR")])
+    for out in (sampling.capped(df, 2, ["n"]), sampling.sampled(df, rules, 2, ["n"]), sampling.counters(df, rules, 2, ["n"])):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_registered_policy(spark):
+    def check(config):
+        if not config.options.get("name"):
+            raise ConfigError("name is needed")
+
+    policy_types.register("named", lambda c: F.col("name") == c.options["name"], check)
+    df = spark.createDataFrame([("a", "x"), ("b", "y")], "trace_id string, name string")
+    kept = sampling.kept_traces(df, compiled([PolicyConfig("named", options={"name": "y"})]))
+    assert [r.trace_id for r in kept.collect()] == ["b"]
+    for config in (PolicyConfig("named"), PolicyConfig("unheard of")):
+        with pytest.raises(ConfigError):
+            config.validate()

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from spantail.config import StoreConfig
+from spantail.config import ConfigError, StoreConfig
 from spantail.functions.naming import attr_column
 from spantail.sources import otlp
 from spantail.sources.store import BASE_SCHEMA, SpanStore
@@ -42,6 +42,27 @@ def test_grows_by_keys(spark, held):
     assert held.read().count() == 0
 
 
+def test_attached_to_a_catalog(spark, held):
+    df = spark.createDataFrame(ROWS, BASE_SCHEMA)
+    for rows in (df.where("trace_id = 't-blue'"), df):
+        held.write(rows)
+        name = held.attach()
+    assert name == "`d`.`spans`"
+    got = spark.sql(f"SELECT {attr_column('shop')} AS shop, attributes['crate.size'] AS size, count(*) AS n FROM d.spans GROUP BY 1, 2 ORDER BY n")
+    assert sorted((r.shop, r["size"], r.n) for r in got.collect()) == [("", "XL", 1), ("lamps", None, 2)]
+    spark.sql("DROP DATABASE d CASCADE")
+    assert held.read().count() == 3
+
+
+def test_settings_from_a_url():
+    config = StoreConfig.of("s3a://u:secret@b/x?database=one&batch_size=7&flush_interval_s=0.5", database="two", table="")
+    assert (config.location, config.database, config.table, config.batch_size, config.flush_interval_s) == ("s3a://u:secret@b/x", "two", "spans", 7, 0.5)
+    assert "secret" not in repr(config)
+    for url in ("?database=x", "f?nothing=1", "f?batch_size=a", "f?batch_size=-1"):
+        with pytest.raises(ConfigError):
+            StoreConfig.of(url)
+
+
 def test_replayed_batch_is_stored_once(spark, held):
     df = spark.createDataFrame(ROWS, BASE_SCHEMA)
     sink = held.sink("one")

@@ -7,8 +7,9 @@ licence file is compared as a whole too, and if one is found, it stands for its
 
 Files without an own licence take that of the nearest ancestor directory: distinct directories are
 exploded to their ancestors, joined on paths with the directories that have a licence, and the
-deepest is taken; files are then joined with their directory, in salted parts. Two licence files in one directory: the
-higher score, then the name of the licence, decides.
+deepest is taken; files are then joined with their directory, those of very large directories by
+broadcast. Two licence files in one directory: the higher score, then the name of the licence, decides.
+What was found of each row is written once, with the columns that are kept.
 
 DataFrame functions only. Null and empty texts have no statements; null paths are in no directory and
 inherit nothing. Ties between templates go to the name. Very long texts, and statements, take time in
@@ -25,7 +26,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spantail.llm.common import others
+from spantail.llm.common import joined_hot, others, written
 from spantail.llm.native import once
 
 #: Statements by which licences are commonly declared.
@@ -45,8 +46,6 @@ TEMPLATES = {
 }
 CUE = r"(?i)licen[cs]|copyright|spdx|all rights reserved|permission is hereby granted|proprietary"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
-#: Parts into which the files of a directory are dealt to meet its licence: one directory may hold a third of all files.
-SALTS = 64
 #: A version's point stays in its word.
 _WORD = r"[^a-z0-9.]+|[.](?![0-9])"
 
@@ -142,17 +141,14 @@ def license_scan(df: DataFrame, text_col: str = "text", path: Column | str = "pa
     made_from = Templates(templates or TEMPLATES)
     clean = F.concat_ws("/", F.filter(F.split(_directory(F.col("__path")), "/"), lambda p: p != ""))
 
-    def scanned(rows: DataFrame) -> DataFrame:
-        found = own_licenses(rows, text_col, path, least, made_from).select(*kept, "__path", "__own", "n_statements")
-        return found.withColumn("__dir", F.when(F.col("__path").isNotNull(), clean))
-
-    found = scanned(df)
-    standing = scanned(df.where(path.rlike(LICENCE_FILE))).where(F.col("__own").isNotNull())
+    found = own_licenses(df, text_col, path, least, made_from).select(*kept, "__path", "__named", "__own", "n_statements")
+    found, _ = written(found.withColumn("__dir", F.when(F.col("__path").isNotNull(), clean)), "licenses")
+    here = found.where(F.col("__dir").isNotNull())
+    standing = here.where(F.col("__named") & F.col("__own").isNotNull())
     standing = standing.groupBy(F.col("__dir").alias("ancestor")).agg(F.min(F.struct((-F.col("__own.score")).alias("s"), F.col("__own.license").alias("license"))).alias("own"))
-    below = found.where(F.col("__dir").isNotNull()).select("__dir").distinct().select("__dir", F.inline(_ancestors(F.col("__dir"))))
-    near = below.join(standing, "ancestor").groupBy("__dir").agg(F.max_by("own", "depth").alias("__near"))
-    near = near.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = found.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(near, ["__dir", "__salt"], "left")
+    below = here.groupBy("__dir").agg(F.count("*").alias("n")).select("__dir", "n", F.inline(_ancestors(F.col("__dir"))))
+    near, _ = written(below.join(standing, "ancestor").groupBy("__dir", "n").agg(F.max_by("own", "depth").alias("__near")), "near")
+    rows = joined_hot(found, near, "__dir", "left")
     own, near = F.col("__own"), F.col("__near")
     return rows.select(
         *kept,

@@ -117,6 +117,17 @@ def brute_secrets(rows, repositories=5, owners=4):
     return out
 
 
+def test_hot_directories(spark, monkeypatch):
+    from spantail.llm import common
+
+    monkeypatch.setattr(common, "FEW_ROWS", 0)
+    monkeypatch.setattr(common, "HOT", 4)
+    rows = [("a/LICENSE", "Released under the MIT License.")] + [(f"a/x{i}.py", "code") for i in range(50)] + [(f"b{i}/c/y.py", None) for i in range(5)] + [("b1/COPYING", "Licensed under CC BY 4.0."), (None, "x")]
+    got = licenses.license_scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert sorted(((str(r.path), r.license, r.via) for r in got), key=str) == sorted(((str(p), *x[:2]) for (p, _), x in zip(rows, brute_licenses(rows))), key=str)
+    assert sum(r.via == "inherited" for r in got) == 51
+
+
 @pytest.mark.parametrize("hot", [None, 3])
 def test_ownership_against_brute_force(spark, hot, monkeypatch):
     """Values of every kind in few and many repositories, of few and many owners, alone, side by side, and in copies."""
@@ -279,8 +290,10 @@ def test_exception_phrases():
 
 
 def test_folding():
-    assert toxicity.fold("Ïdïöt").split() == toxicity.fold("𝕚𝕕𝕚𝕠𝕥").split() == toxicity.fold("ｉｄｉｏｔ").split() == toxicity.fold("1D\u200bI0T").split() == toxicity.fold("іdіоt").split() == ["idiot"]
-    assert toxicity.fold("İ") == " i" and toxicity.fold(None) == " "
+    assert toxicity.fold("𝕚𝕕𝕚𝕠𝕥").split() == toxicity.fold("ｉｄｉｏｔ").split() == toxicity.fold("1D\u200bI0T").split() == toxicity.fold("іdіоt").split() == toxicity.without_accents("Ïdïöt").split() == ["idiot"]
+    assert toxicity.fold("Été 1").split() == ["été", "i"] and toxicity.fold(None) == " "
+    lexicon = toxicity.Lexicon({"idiot": 2.0})
+    assert [lexicon.match(t)[0] for t in ("an idiot", "an ïdïöt", "ïdïöt idiot", "été")] == [2.0, 2.0, 4.0, 0]
 
 
 def test_exceptions_are_learned(spark):

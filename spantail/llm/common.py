@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 from collections.abc import Iterator
 
@@ -61,16 +63,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _freed() -> None:
+    """Gives memory that earlier tasks of this worker used back to the system, as far as the allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_arrow(df: DataFrame, run, schema, encodes: bool = False) -> DataFrame:
     """df.mapInArrow with this package on the executors. Only functions that encode texts keep the pieces that their worker remembers."""
     ship(df.sparkSession)
 
-    def forgetful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "spantail.llm.tokens" in sys.modules:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes and "spantail.llm.tokens" in sys.modules:
             sys.modules["spantail.llm.tokens"].Encoder.forget()
-        return run(batches)
+        _freed()
+        yield from run(batches)
+        _freed()
 
-    return df.mapInArrow(run if encodes else forgetful, schema)
+    return df.mapInArrow(task, schema)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

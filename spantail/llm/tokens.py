@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from spantail.llm.common import byte_slices, in_arrow, text_bytes
 
-#: Pieces that a worker remembers, and the bytes of the longest of them; beyond, only those stay that came in several batches.
-REMEMBERED, LONGEST = 1_000_000, 64
+#: Pieces that a worker remembers, and the bytes of the longest of them; beyond, only those stay that came in most batches.
+REMEMBERED, LONGEST = 700_000, 64
 #: Pieces that the library encodes in one call.
 CALL = 8192
 #: One word of letters that every Unicode version takes for letters, composed, and lower-cased one by one.
@@ -120,12 +120,13 @@ class Encoder:
         self.used = self.filled = 0
 
     def _forget(self) -> None:
-        """Only pieces met in two batches or more since the last time stay, and none if these are half of all."""
-        kept = [(p, s) for p, s in self.slot.items() if self.met[s] > 1]
-        old, length, begin = np.array([s for _, s in kept], np.int64), self.length, self.begin
-        ids = self.ids
+        """Of the pieces met in two batches or more since the last time those met most often stay, half of all at most."""
+        often = np.append(np.bincount(self.met[: self.used], minlength=3)[::-1].cumsum()[::-1], 0)
+        least = max(2, int(np.argmax(often <= REMEMBERED // 2)))
+        kept = [(p, s) for p, s in self.slot.items() if self.met[s] >= least]
+        old, length, begin, ids = np.array([s for _, s in kept], np.int64), self.length, self.begin, self.ids
         self._clear()
-        if 0 < len(kept) <= REMEMBERED // 2:
+        if kept:
             sizes = length[old]
             flat = ids[np.repeat(begin[old] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
             self._store([p for p, _ in kept], sizes, flat)

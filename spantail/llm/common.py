@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spantail.shared import hadoop, new_path
+from spantail.shared import hadoop, new_path, written
 from spantail.ship import ship
 
 #: Text bytes that one step in a Python worker holds at a time.
@@ -28,13 +28,6 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def written(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, reread: later steps don't depend on lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
 def counted(side: DataFrame) -> DataFrame:
     """A written table of narrow rows as the smaller side of a join: broadcast if it is counted to be small, else shuffled."""
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side

@@ -3,6 +3,12 @@
 Words and shingles are those of `simhash` (`width` words; fewer words: all of them), each shingle once,
 by its XXH64. Texts of one set are one class; texts without a word are the class of the empty set.
 
+SimHash comes first: each set's fingerprint, bits that over half its shingles' hashes have, is linked to
+those of DISTANCE or fewer other bits by pigeonhole on blocks (`simhash.links`); each link is checked
+exactly, on the whole sets, and those that hold are the first components. Texts at 4/5 may differ in
+more bits, too many for blocks, so no answer is left to the fingerprint alone: what is still apart is
+searched exactly, as follows; pairs that SimHash's links connect are not looked at again.
+
 Candidates: in one order of all shingles, two sets this similar share a shingle among the first
 n - ceil(4n/5) + 1 of each (prefix filter), and the places of the first one shared bound what they can
 have in common. So no pair is lost. The order puts shingles that are common in a sample last; that
@@ -35,10 +41,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from spantail.llm.common import byte_slices, counted, drop, in_arrow, text_bytes, written
-from spantail.llm.simhash import HASHED, SEED, components
+from spantail.llm.simhash import HASHED, SEED, bits_of, components
+from spantail.llm.simhash import links as simhash_links
 
 #: Rows in the sample that tells common shingles, and in how many of them these are.
 SAMPLE, COMMON = 5_000, 3
+#: Differing bits that link fingerprints, and the blocks that these are cut in.
+DISTANCE, CUT = 2, 4
 #: Neighbours that a member of a crowded prefix is paired with at first; parts of a common shingle's members.
 NEIGHBOURS, PARTS = 2, 31
 #: Members of a component that name a partner for each crowded shingle; the rounds end when so few, or a smaller share of them, are right.
@@ -88,17 +97,18 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def _marked(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
-    """id, key, fp (a hash of the text's set), its size n, sketch and prefix, and how much of that is uncommon; the prefix is null where the task has met the set before."""
+    """id, key, fp (a hash of the text's set), its size n, SimHash, sketch and prefix, and how much of that is uncommon; the prefix is null where the task has met the set before."""
     last = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, seen = last.value, set()
         for part in byte_slices(batches, 0, HASHED):
-            fps, sizes, sketches, heads, rare = [], [], [], [], []
+            fps, sizes, sims, sketches, heads, rare = [], [], [], [], [], []
             for s in shingle_sets(part.column(0), width):
                 n, fp = len(s), xxhash.xxh3_64_intdigest(s.tobytes())
                 fps.append(fp)
                 sizes.append(n)
+                sims.append(bits_of(s, np.array([n]))[0])
                 sketches.append(np.minimum(np.bincount(s % np.uint64(BUCKETS), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 if fp in seen:
                     heads.append(None)
@@ -110,10 +120,10 @@ def _marked(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
                 often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) and n else np.zeros(n, bool)
                 heads.append(np.concatenate([s[~often], s[often]])[: n - (4 * n + 4) // 5 + 1])
                 rare.append(n - int(often.sum()))
-            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(sketches, pa.binary()), _lists(heads), pa.array(rare, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], ["id", "key", "fp", "n", "sketch", "prefix", "rare"])
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64)), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(sketches, pa.binary()), _lists(heads), pa.array(rare, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], ["id", "key", "fp", "n", "simhash", "sketch", "prefix", "rare"])
 
-    return in_arrow(rows, run, rows.drop("text").schema.add("fp", "long").add("n", "long").add("sketch", "binary").add("prefix", ArrayType(LongType())).add("rare", "long"))
+    return in_arrow(rows, run, rows.drop("text").schema.add("fp", "long").add("n", "long").add("simhash", "long").add("sketch", "binary").add("prefix", ArrayType(LongType())).add("rare", "long"))
 
 
 def _entries(marked: DataFrame) -> DataFrame:
@@ -291,8 +301,29 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int)
     return out
 
 
+def _near_fingerprints(classes: DataFrame) -> DataFrame:
+    """u, v: pairs of classes by the SimHash links of their fingerprints; classes of one fingerprint are paired with its least."""
+    first = classes.groupBy("simhash").agg(F.min("fp").alias("least"))
+    first, _ = written(first, "fingerprints")
+    same = classes.join(first, "simhash").where("fp > least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    near = simhash_links(first.select(F.col("simhash").alias("fp")), DISTANCE, CUT)
+    of = lambda c: first.select(F.col("simhash").alias(c), F.col("least").alias(f"of_{c}"))
+    other = near.join(of("u"), "u").join(of("v"), "v")
+    return same.unionAll(other.select(F.least("of_u", "of_v").alias("u"), F.greatest("of_u", "of_v").alias("v")))
+
+
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (u, v, ...) whose components by the links found differ."""
+    reached, _ = written(components(found), "reached")
+    of = lambda c: counted(reached.select(F.col("node").alias(c), F.col("least").alias(f"least_{c}")))
+    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.where(F.coalesce("least_u", "u") != F.coalesce("least_v", "v")).select(*pairs.columns)
+
+
 def links(marked: DataFrame, classes: DataFrame, rows: DataFrame, width: int, crowded: int) -> DataFrame:
-    """Pairs of classes that connect whatever is similar."""
+    """Pairs of classes that connect whatever is similar: by SimHash, and what it leaves apart by prefixes."""
+    close, close_path = written(_near_fingerprints(classes), "close")
+    found = _verified(close, classes, rows, width)
     met, path = written(_met(_entries(marked), crowded), "met")
     many = met.where("h is not null").select("h", F.col("v").alias("pack"), F.col("u").alias("fp"))
     part = F.shiftright("pack", _PART)
@@ -300,8 +331,9 @@ def links(marked: DataFrame, classes: DataFrame, rows: DataFrame, width: int, cr
     first_of = F.min(F.struct(F.shiftright("pack", _SIZE).alias("n"), "fp", "pack"))
     heads = bare.where("part > 0").groupBy("h", "part").agg(first_of.alias("one")).select("h", "one.pack", "one.fp")
     ahead = _met(heads, PARTS + 1).select("u", "v")
-    tried, tried_path = written(met.where("h is null").select("u", "v").unionAll(ahead).distinct(), "tried")
-    found, tries = _verified(tried, classes, rows, width), [tried_path]
+    pairs = met.where("h is null").select("u", "v").unionAll(ahead).distinct()
+    more, more_path = written(_across(pairs, found).join(close, ["u", "v"], "left_anti"), "tried")
+    found, tried, tries = found.unionAll(_verified(more, classes, rows, width)), more.unionAll(close), [close_path, more_path]
 
     def still_apart(naming: int) -> DataFrame:
         """A written table of pairs across components that weren't tried."""
@@ -335,7 +367,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rows = df.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), key.alias("key"))
     marked, marked_path = written(_marked(rows, width, common_shingles(rows, width)), "marked")
     number = F.struct(F.col("id").isNull().alias("null"), "id", "key")
-    classes, classes_path = written(marked.groupBy("fp").agg(F.min(number).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes, classes_path = written(marked.groupBy("fp").agg(F.min(number).alias("first"), F.first("n").alias("n"), F.first("simhash").alias("simhash"), F.first("sketch").alias("sketch")), "classes")
     reached = components(links(marked, classes, rows, width, crowded)).select(F.col("node").alias("fp"), "least")
     named = classes.select("fp", "first").join(reached, "fp", "left").withColumn("least", F.coalesce("least", "fp"))
     chosen = named.groupBy("least").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.lit(True).alias("chosen"))

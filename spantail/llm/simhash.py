@@ -56,12 +56,15 @@ def fingerprint_batch(texts: pa.Array, width: int) -> np.ndarray:
         else:
             hashes.extend([hash64(s, SEED) for s in map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))])
             counts[i] = len(words) - width + 1
-    out = np.zeros(len(counts), np.uint64)
-    if hashes:
-        ones = _ones(np.array(hashes, np.uint64), counts)
-        bits = (2 * ones > counts[:, None]).astype(np.uint8)
-        out = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return bits_of(np.array(hashes, np.uint64), counts)
+
+
+def bits_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The fingerprints of texts with so many hashes each, in order: bits that over half of them have."""
+    if not len(hashes):
+        return np.zeros(len(counts), np.uint64)
+    bits = (2 * _ones(hashes, counts) > counts[:, None]).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def _ones(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:

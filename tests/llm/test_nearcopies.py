@@ -68,3 +68,12 @@ def test_the_stage_drops_near_copies(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).select("doc_id").collect()}
     assert got == least_of([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Without the search by prefixes the checked links of SimHash alone decide."""
+    one = " ".join(f"word{i}" for i in range(4000))
+    copies = [(1, one), (2, one + " more"), (3, one + " other"), (4, "quite another text of some words")]
+    monkeypatch.setattr(nearcopies, "_met", lambda entries, crowded: spark.createDataFrame([], "u long, v long, h long"))
+    got = nearcopies.one_of_each(spark.createDataFrame(copies, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 4]
